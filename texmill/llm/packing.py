@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from texmill.llm._common import keep, read
 
 #: A space may be a cut between pre-tokens unless white space (or what some library may take for it) is on both sides.
-_BLANK = r"[\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  ⁠　﻿]"
+_BLANK = "[\\s\x5cx00-\x5cx20\x5cx7f-\x5cxa0" + "".join(map(chr, (0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]"
 _NO_CUT = re.compile(f"{_BLANK} (?:{_BLANK}|$)")
 
 
