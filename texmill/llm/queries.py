@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from texmill.llm.decontaminate import op4_benchmark_decontamination
 from texmill.llm.near_dedup import op2_minhash_near_dedup
 from texmill.llm.packing import op6_best_fit_packing
 from texmill.llm.token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op6_best_fit_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op4_benchmark_decontamination, op6_best_fit_packing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
