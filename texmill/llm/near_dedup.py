@@ -8,9 +8,9 @@ Four registers side by side are a 64-bit band key, 32 bands in all; documents th
 * In every bucket, all members are held against its most central member (the one whose buckets hold most rows), not
   against each other. Candidates with large sets pass a Jaccard estimate from equal registers, less the expected
   register collisions; the rest and all that pass are confirmed by the intersection of the full sets.
-* Buckets that then still hold several components are finished exactly: a shingle that no other member of the pool
-  has can be in no intersection, which bounds each member's best possible similarity; members that can still reach
-  the threshold are paired across components and confirmed. No bucket is capped and no pair is sampled.
+* Buckets that then still hold several components are finished exactly: their members are joined on the rarest
+  shingles of each set, as many as any partner at the threshold must share one of, and pairs of different components
+  within the positional bound are confirmed. No bucket is capped and no pair is sampled.
 
 Hot buckets meet in plain joins of stored tables (split by adaptive execution) or in aggregates with partial sums.
 
@@ -115,11 +115,12 @@ def estimate(a: str, b: str, na: str, nb: str) -> Column:
     return (_equal_registers(a, b) / float(REGISTERS) - chance) / (1 - chance)
 
 
-def _pass_estimate(pairs: DataFrame, sets: DataFrame, threshold: float, large: int = 256) -> DataFrame:
+def _pass_estimate(pairs: DataFrame, sets: DataFrame, percent: int, large: int = 256) -> DataFrame:
     """Drop pairs (a, b) of two large sets whose estimate is six deviations under the threshold, or whose sizes exclude it."""
+    threshold = percent / 100
     margin = 6 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     a, b = (sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"bands_{c}")) for c in "ab")
-    joined = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    joined = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return joined.where((F.least("n_a", "n_b") < large) | (estimate("bands_a", "bands_b", "n_a", "n_b") >= threshold - margin)).select("a", "b", "n_a", "n_b")
 
 
@@ -132,7 +133,6 @@ def _confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, of every document."""
-    threshold = percent / 100
     docs = docs.select("doc_id", "text")
     sketched = keep(sketches(docs, width), "sketches")
     classes = keep(sketched.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("set_id")), "classes")
@@ -144,14 +144,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     central = members.groupBy("set_id").agg(F.sum("c").alias("weight"))
     heads = keep(members.join(central, "set_id").groupBy("band", "key").agg(F.max(F.struct("weight", -F.col("set_id"))).alias("m")).select("band", "key", (-F.col("m.col2")).alias("b")), "heads")
     star = members.join(heads, ["band", "key"]).where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
-    star = keep(_pass_estimate(keep(star, "star"), sets, threshold), "candidates")
+    star = keep(_pass_estimate(keep(star, "star"), sets, percent), "candidates")
 
     wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.where("c > 2").select("set_id")).distinct()
     shingles = keep(shingle_arrays(docs.join(keep(wanted, "wanted"), "doc_id", "left_semi"), width), "shingles")
     links = keep(_confirm(star, shingles, percent), "links")
     found = connected_components(links)
 
-    rest = _across(members, sets, shingles, found, threshold)
+    rest = _across(members, sets, shingles, found, percent)
     more = keep(_confirm(rest, shingles, percent), "more_links")
     if not more.isEmpty():
         found = connected_components(links.union(more))
@@ -162,26 +162,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _across(members: DataFrame, sets: DataFrame, shingles: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a bucket, are in different components, and can reach the threshold at all."""
-    share = threshold / (1 + threshold)  # of the summed sizes, that an intersection needs
-    open_members = members.where("c > 2").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("band", "key", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    open_members = keep(open_members, "open_members")
-    several = open_members.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("n_min")).where("lo <> hi").select("band", "key", "n_min")
-    pool = keep(open_members.join(keep(several, "several"), ["band", "key"]), "pool")
-    pooled = shingles.join(pool.select(F.col("set_id").alias("id")).distinct(), "id", "left_semi")
-    alone = pooled.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.max("id").alias("set_id")).where("c = 1").groupBy("set_id").agg(F.count("*").alias("own"))
-    able = pool.join(alone, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-    able = keep(able.where(F.col("most") >= share * (F.col("n") + F.greatest(F.col("n_min"), threshold * F.col("n")))).drop("own", "n_min"), "able")
-    per = able.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
-    main = keep(per.groupBy("band", "key").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", F.col("x.component").alias("main")), "main")
-    tagged = keep(able.join(main, ["band", "key"]), "tagged")
-    left = keep(tagged.where("component <> main").select("band", "key", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("c_a")), "minor")
-    right = tagged.select("band", "key", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("c_b"), "main")
-    reach = F.least("most_a", "most_b") >= share * (F.col("n_a") + F.col("n_b"))
+def _across(members: DataFrame, sets: DataFrame, shingles: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can reach the threshold, among the members of buckets with several components.
+
+    Two sets at the threshold share one of their first n - ceil(n * percent / 100) + 1 shingles in any common order. Taken
+    from the rarest in this pool on, those are mostly a member's own, which no pair needs.
+    """
+    components = found.withColumnRenamed("id", "set_id")
+    named = keep(members.where("c > 2").join(components, "set_id", "left").select("band", "key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "open_members")
+    several = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+    pool = keep(named.join(keep(several, "several"), ["band", "key"]).select(F.col("set_id").alias("id"), "n", "component").distinct(), "pool")
+    rows = keep(shingles.join(pool.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("s")), "pool_shingles")
+    often = keep(rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "pool_counts")
+    ordered = rows.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("shared")).join(pool, "id")
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.size("shared"))  # the rarest, its own, come first
+    own = F.col("n") - F.size("shared")
+    prefixes = ordered.where(length > 0).select("id", "n", "component", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))["s"]).alias("pos", "s"))
+    prefixes = keep(prefixes.select("id", "n", "component", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), "s"), "prefixes")
+    per = prefixes.groupBy("s", "component").agg(F.count("*").alias("m"))
+    main = keep(per.groupBy("s").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("s", F.col("x.component").alias("main")), "main")
+    tagged = keep(prefixes.join(main, "s"), "tagged")
+    left = keep(tagged.where("component <> main").select("s", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("left").alias("left_a")), "minor")
+    right = tagged.select("s", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "main", F.col("left").alias("left_b"))
+    near = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))  # what the first shingle they share leaves to share
     once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, [left.band == right.band, left.key == right.key, F.col("c_a") != F.col("c_b"), reach, once]).select("a", "b").distinct()
-    return keep(_pass_estimate(keep(pairs, "across"), sets, threshold), "across_candidates")
+    pairs = left.join(right, [left.s == right.s, F.col("c_a") != F.col("c_b"), near, once]).select("a", "b").distinct()
+    return keep(_pass_estimate(keep(pairs, "across"), sets, percent), "across_candidates")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
