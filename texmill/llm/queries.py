@@ -11,13 +11,14 @@ from texmill.llm.near_dedup import op2_minhash_near_dedup
 from texmill.llm.packing import op6_best_fit_packing
 from texmill.llm.resampling import op3_importance_resampling
 from texmill.llm.secrets import op8_secret_scan
+from texmill.llm.substring_dedup import op1_substring_dedup
 from texmill.llm.token_counts import op9_token_counts
 from texmill.llm.vector_search import ORACLE as TOP_K_SQL
 from texmill.llm.vector_search import op7_exact_top_k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_importance_resampling, op4_benchmark_decontamination, op6_best_fit_packing, op7_exact_top_k, op8_secret_scan, op9_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_importance_resampling, op4_benchmark_decontamination, op6_best_fit_packing, op7_exact_top_k, op8_secret_scan, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
