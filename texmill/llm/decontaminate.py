@@ -56,19 +56,26 @@ class Windows:
         g = min(self.gram, len(window))
         return [sum(w << (21 * k) for k, w in enumerate(window[i : i + g])) for i in range(len(window) - g + 1)]
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts as numbers (0: in no item), each text followed by a 0; where each text begins."""
+        words, starts = [], [0]
+        for text in texts:
+            words += words_of(text)
+            words.append(b"")
+            starts.append(len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words)), np.array(starts)
 
     def shingles_at(self, ids: np.ndarray, g: int) -> np.ndarray:
         """Number of the g words at every place; 0 where one of them is in no item."""
         n = len(ids) - g + 1
         if n <= 0:
             return np.empty(0, np.int64)
-        out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(g):
+        out, known = ids[:n].copy(), ids[:n] > 0
+        for k in range(1, g):
             out |= ids[k : k + n] << (21 * k)
             known &= ids[k : k + n] > 0
-        return np.where(known, out, 0)
+        out[~known] = 0
+        return out
 
     def grams(self) -> list[int]:
         return sorted({min(self.gram, len(w)) for w in self.words})
@@ -79,35 +86,69 @@ class Windows:
             numbers = self.shingle_numbers(window)
             at = min(range(len(numbers)), key=lambda i: (frequency.get(numbers[i], 0), i))
             self.rarest.setdefault(numbers[at], []).append((at, window))
-        self.keys = np.array(sorted(self.rarest), np.int64)
 
-    def places(self, ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    def places(self, ids: np.ndarray, keys: Keys) -> Iterator[tuple[int, int]]:
+        """(place, shingle) of every occurrence of a key."""
         for g in self.grams():
             at = self.shingles_at(ids, g)
-            if len(at):
-                where = np.searchsorted(keys, at)
-                hit = np.flatnonzero((at > 0) & (keys[np.minimum(where, len(keys) - 1)] == at))
-                yield from zip(hit.tolist(), at[hit].tolist(), strict=True)
+            hit = keys.among(at)
+            yield from zip(hit.tolist(), at[hit].tolist(), strict=True)
 
-    def occurrences(self, ids: np.ndarray) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(place, window) of every window that occurs."""
+    def occurrences(self, ids: np.ndarray, keys: Keys) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(place, window) of every window that occurs; a 0 between two texts is in no window."""
         n = len(ids)
-        for place, number in self.places(ids, self.keys):
+        for place, number in self.places(ids, keys):
             for at, window in self.rarest[number]:
                 begin = place - at
-                if begin >= 0 and begin + len(window) <= n and tuple(ids[begin : begin + len(window)].tolist()) == window:
+                if begin >= 0 and begin + len(window) <= n and ids[begin] == window[0] and tuple(ids[begin : begin + len(window)].tolist()) == window:
                     yield begin, window
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[object]]:
-        """Word spans [from, to) that windows cover, merged, and the items whose windows occur."""
-        ids = self.numbers(words)
-        spans, items = [], set()
-        if not len(self.keys) or not ids.any():
-            return [], items
-        for begin, window in self.occurrences(ids):
-            spans.append((begin, begin + len(window)))
-            items.update(self.words[window])
-        return merged(spans), items
+    def match(self, texts: list[str | None], keys: Keys) -> Iterator[tuple[int, list[tuple[int, int]], set[object]]]:
+        """Per text: words, word spans [from, to) that windows cover, merged, and the items whose windows occur."""
+        ids, starts = self.numbers(texts)
+        spans, items = defaultdict(list), defaultdict(set)
+        for begin, window in self.occurrences(ids, keys):
+            k = int(np.searchsorted(starts, begin, "right")) - 1
+            begin -= int(starts[k])
+            spans[k].append((begin, begin + len(window)))
+            items[k].update(self.words[window])
+        for k, n in enumerate((np.diff(starts) - 1).tolist()):
+            yield n, merged(spans[k]) if k in spans else [], items[k] if k in items else set()
+
+
+class Keys:
+    """Shingle numbers to look for, behind a small table that rules out nearly all others."""
+
+    def __init__(self, numbers):
+        self.sorted = np.array(sorted(numbers), np.int64)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self.slots(self.sorted)] = True
+
+    @staticmethod
+    def slots(numbers: np.ndarray) -> np.ndarray:
+        return (numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def among(self, numbers: np.ndarray) -> np.ndarray:
+        """Places of those that are keys."""
+        if not len(self.sorted) or not len(numbers):
+            return np.empty(0, np.int64)
+        may = np.flatnonzero(numbers)
+        may = may[self.table[self.slots(numbers[may])]]
+        found = numbers[may]
+        return may[self.sorted[np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)] == found]
+
+
+def groups_of(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The batch's texts in runs of about `most` characters."""
+    run, size = [], 0
+    for text in batch.column(column).to_pylist():
+        run.append(text)
+        size += len(text or "")
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -125,13 +166,14 @@ def _count_shingles(docs: DataFrame, windows) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
-        keys = np.array(sorted({n for x in w.words for n in w.shingle_numbers(x)}), np.int64)
+        keys = Keys({n for x in w.words for n in w.shingle_numbers(x)})
         seen: Counter[int] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = w.numbers(words_of(text))
-                if len(keys) and ids.any():
-                    seen.update(number for _, number in w.places(ids, keys))
+            for texts in groups_of(batch, 0):
+                ids, _ = w.numbers(texts)
+                for g in w.grams():
+                    at = w.shingles_at(ids, g)
+                    seen.update(dict(zip(*(x.tolist() for x in np.unique(at[keys.among(at)], return_counts=True)), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["shingle", "n"])
 
     return {r.shingle: r.n for r in docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()}
@@ -154,14 +196,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
 
         def match(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             w = given.value
+            keys = Keys(w.rarest)
             for batch in batches:
                 n, spans, found = [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = words_of(text)
-                    hit, of = w.match(words)
-                    n.append(len(words))
-                    spans.append([{"first": a, "last": b} for a, b in hit])
-                    found.append(sorted(of))
+                for texts in groups_of(batch, 1):
+                    for size, hit, of in w.match(texts, keys):
+                        n.append(size)
+                        spans.append([{"first": a, "last": b} for a, b in hit])
+                        found.append(sorted(of))
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
