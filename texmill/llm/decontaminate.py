@@ -228,5 +228,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20) -> DataFrame:
+    """The documents that are not contaminated."""
+    gone = keep(contamination(docs, benchmark, size, one_in).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

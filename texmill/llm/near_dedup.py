@@ -15,7 +15,8 @@ Four registers side by side are a 64-bit band key, 32 bands in all; documents th
 Hot buckets meet in plain joins of stored tables (split by adaptive execution) or in aggregates with partial sums.
 
 Defined results: null, empty and blank texts have an empty set, size 0, and are linked with nothing; fewer than five
-words make one shingle; repeated doc_id rows are expected not to occur; other columns are ignored.
+words make one shingle; rows of a null doc_id are linked with nothing and kept; repeated rows have the same result
+each, and without_duplicates() leaves one of them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,8 +136,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, of every document."""
     docs = docs.select("doc_id", "text")
     sketched = keep(sketches(docs, width), "sketches")
-    classes = keep(sketched.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("set_id")), "classes")
-    sets = keep(sketched.join(classes.select(F.col("set_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("set_id"), "n", "bands"), "sets")
+    classes = keep(sketched.where("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("set_id")), "classes")
+    sets = keep(sketched.join(classes.select(F.col("set_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("set_id"), "n", "bands").dropDuplicates(["set_id"]), "sets")
 
     banded = sets.select("set_id", "n", F.posexplode("bands").alias("band", "key"))
     shared = keep(banded.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
@@ -156,10 +157,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     if not more.isEmpty():
         found = connected_components(links.union(more))
 
-    named = sketched.select("doc_id", "n", "d0", "d1").join(classes, ["d0", "d1"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
+    named = sketched.select("doc_id", "n", "d0", "d1").join(classes, ["d0", "d1"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     named = keep(named, "named").join(found.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     component = F.coalesce("component", "set_id", "doc_id")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The documents with one of each group of near-duplicates, and one of rows that repeat both id and text."""
+    gone = keep(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct(), "duplicates")
+    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = keep(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "repeated_ids")
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return rest.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def _across(members: DataFrame, sets: DataFrame, shingles: DataFrame, found: DataFrame, percent: int) -> DataFrame:

@@ -27,6 +27,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from texmill.llm._common import keep, read
 from texmill.llm.shingles import mix
@@ -143,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, seed: int
     return Model(spark.sparkContext.broadcast(np.clip(ratio, -8, 8)), known)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with n_ngrams and log_weight."""
+def scored(docs: DataFrame, model: Model, size: str = "n_ngrams", weight: str = "log_weight") -> DataFrame:
+    """The documents with their number of n-grams and log weight under these names."""
     ratio, names = model.ratio, docs.columns
     at = names.index("text")
 
@@ -158,19 +159,23 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     n.append(b - a)
                     weights.append(float(worth[a:b].sum()) if b > a else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(weights, pa.float64())], [*names, "n_ngrams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(weights, pa.float64())], [*names, size, weight])
 
-    clash = {"n_ngrams", "log_weight"} & {c.lower() for c in names}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, n_ngrams long, log_weight double")
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(weight, T.DoubleType())]))
 
 
-def gumbel_key(seed: int) -> Column:
-    """log_weight plus Gumbel noise that the document's id and the seed fix."""
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def gumbel_key(seed: int, weight: str = "log_weight") -> Column:
+    """A log weight plus Gumbel noise that the document's id and the seed fix."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.col("log_weight") - F.log(-F.log(uniform))
+    return F.col(weight) - F.log(-F.log(uniform))
 
 
 def best_cut(keys: list[tuple[float, bool]], good_weight: float = 3.0) -> float:
@@ -250,7 +255,8 @@ def only_kept(docs: DataFrame, labels: DataFrame, k: int | None = None, label_ro
     """The documents that resample() keeps, with their columns; texts are not shuffled."""
     model = fit(docs, labels, label_rows, seed)
     cut = choose(keep(scored(docs.select("doc_id", "text"), model).drop("text"), "weights"), model.labels, k, seed)
-    return scored(docs, model).where(gumbel_key(seed) >= cut).select(docs.columns)
+    size, weight = fresh(docs.columns, "n_ngrams"), fresh(docs.columns, "log_weight")
+    return scored(docs, model, size, weight).where(gumbel_key(seed, weight) >= cut).drop(size, weight)
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
