@@ -112,8 +112,11 @@ def labelled(labels: DataFrame, label_rows: int, seed: int) -> dict:
     return {r.doc_id: r.quality > 0 for r in sample.collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, seed: int = 7) -> Model:
-    """Count both models: the raw one over all documents, the target one over the sampled good ones."""
+def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, seed: int = 7, prior: float = 100.0) -> Model:
+    """Count both models: the raw one over all documents, the target one over the sampled good ones.
+
+    prior is added to every raw count (and its share to the target), so that rare n-grams say little either way.
+    """
     spark = docs.sparkSession
     known = labelled(labels, label_rows, seed)
     good = spark.sparkContext.broadcast({i for i, y in known.items() if y})
@@ -138,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, seed: int
     ratio = np.zeros(BUCKETS)
     if target.any():
         for a, b in ((0, WORDS), (WORDS, WORDS + PAIRS), (WORDS + PAIRS, BUCKETS)):
-            t, r, flat = target[a:b], raw[a:b], 0.5
+            t, r, flat = target[a:b], raw[a:b], prior
             share = t.sum() / r.sum()
             ratio[a:b] = np.log((t + flat * share) / (r + flat)) - np.log(share)
     return Model(spark.sparkContext.broadcast(np.clip(ratio, -8, 8)), known)
