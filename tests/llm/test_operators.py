@@ -1,0 +1,444 @@
+"""Each operator against a brute-force version on small tables, and with nulls, ties, repeats and odd texts."""
+
+import collections
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from texmill.llm import decontaminate, html_extract, language_id, near_dedup, packing, resampling, secrets, substring_dedup, token_counts, vector_search
+from texmill.llm.components import connected_components
+
+P = pytest.importorskip("public_tokenizers")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns whose names operators use inside.
+CLASH = DOCS + ", n long, bands string, score double, spans string, items string, n_ngrams long, log_weight double, found string, part int, rank int, key long, component string, kept string"
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}x" for _ in range(n))
+
+
+def odd_rows():
+    return [
+        (900, None, None, None, None),
+        (901, "", "en", None, 0),
+        (902, "   \n\t ", None, "s", 5),
+        (903, "one", "en", "s", 3),
+        (904, "one", "en", "s", 3),
+        (905, "x" * 60_000, "en", "s", 60_000),
+        (906, "ab " * 40_000, "en", "s", 120_000),
+        (907, "é　ﬁ \U0001f600 <|endoftext|> ▁a  b", "fr", "s", 20),
+        (908, "a b\x00c", "en", "s", 5),
+        (None, "no id but words of some kind here", "en", "s", 10),
+    ]
+
+
+def table(spark, rows, clash=False):
+    df = spark.createDataFrame(rows, DOCS)
+    if clash:
+        for field in CLASH.split(", ")[5:]:
+            name, kind = field.split()
+            df = df.withColumn(name, F.lit(None).cast(kind))
+    return df
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        rows.append((i, words(rng, rng.randrange(5, 160)), "en", "hot" if i % 3 else f"s{i}", 0))
+    for k in range(12):  # near copies of one, with a few words changed; and copies
+        base = rows[20][1].split()
+        for j in rng.sample(range(len(base)), min(len(base), 1 + k // 3)):
+            base[j] = f"new{k}"
+        rows.append((100 + k, " ".join(base), "en", "hot", 0))
+    rows += [(200 + k, rows[30][1].upper() if k % 2 else rows[30][1], "en", "hot", 0) for k in range(6)]
+    passage = words(random.Random(9), 70, 5000)
+    rows += [(300 + k, words(rng, 80, 3000) + " " + passage + " " + words(rng, 30, 3000), "en", "hot", 0) for k in range(3)]
+    return rows + odd_rows()
+
+
+def test_substring_dedup_finds_passages_and_leaves_others(spark, corpus):
+    spans = substring_dedup.repeated_spans(table(spark, corpus, True)).collect()
+    by = collections.defaultdict(list)
+    for s in spans:
+        by[s.doc_id].append(s)
+    assert {300, 301, 302, 200, 201, 202} - {201} <= set(by)
+    assert not {903, 904, 907, 902, 901} & set(by)
+    texts = {r[0]: r[1] for r in corpus}
+    assert all(0 <= s.first_byte and s.first_byte + s.n_bytes <= len(texts[s.doc_id].encode()) for s in spans)
+    assert [s.original for s in by[300] if s.n_words > 40] == [True] and not any(s.original for s in by[301] if s.n_words > 40)
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(table(spark, corpus), substring_dedup.repeated_spans(table(spark, corpus))).collect()}
+    assert left[300] == texts[300] and len(left[301]) < len(texts[301]) - 200 and left[903] == "one"
+
+
+def test_chunks_do_not_depend_on_neighbours():
+    rng = random.Random(2)
+    texts = [words(rng, rng.randrange(0, 90)) for _ in range(30)] + [None, "", "aaaa" * 400]
+    c = substring_dedup.Chunker()
+    text, digest, place = c.chunks(texts)
+    for i, t in enumerate(texts):
+        _, d, p = c.chunks([t])
+        assert (d.tolist(), p.tolist()) == (digest[text == i].tolist(), place[text == i].tolist())
+        length = (p >> 18) & 1023
+        assert length.sum() == len((t or "").encode()) and (not len(p) or length.max() <= 256)
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def classes(rows):
+    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    of = {k: k for k in sets}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                of[max(x, y)] = min(x, y)
+    return sets, {k: find(k) for k in sets}
+
+
+def test_near_duplicates(spark, corpus):
+    sets, want = classes(corpus)
+    for r in near_dedup.near_duplicates(table(spark, corpus, True)).collect():
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_near_duplicates_in_a_drifting_chain(spark):
+    """Copies of copies, of which far ones are not alike, and outliers that share much with all: nothing is lost."""
+    rng = random.Random(8)
+    text, rows = words(rng, 120, 2000).split(), []
+    for i in range(80):
+        text = list(text)
+        for j in rng.sample(range(120), 1 if i % 5 else 6):
+            text[j] = f"w{rng.randrange(2000)}x"
+        rows.append((i, " ".join(text), None, None, None))
+    rng.shuffle(rows)
+    _, want = classes(rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()} == want
+
+
+def test_one_of_each_group_and_of_repeated_rows_stays(spark, corpus):
+    _, want = classes(corpus)
+    docs = table(spark, corpus + corpus[:3], True)
+    out = near_dedup.without_duplicates(docs)
+    assert out.columns == docs.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(k for k, v in want.items() if k == v) and ids.count(None) == 1
+
+
+def test_register_estimate():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
+    b = np.unique(np.concatenate([a[::2], rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2)]))
+    x = near_dedup.registers([a, b, a[:1], a[:3]])
+    assert abs((x[0] == x[1]).mean() - 1 / 3) < 0.15 and len(set(x[2].tolist())) == 1 and x.shape == (4, 128)
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (4, 3), (9, 8), (7, 9), (5, 5)] + [(20 + i, 21 + i) for i in range(40)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7} | {20 + i: 20 for i in range(41)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def quality_rows():
+    rng = random.Random(3)
+    good = [(i, words(rng, rng.randrange(20, 120)).capitalize() + ".", "en", "s", 0) for i in range(120)]
+    bad = [(200 + i, " | ".join(words(rng, 30).upper().split()), "en", "s", 0) for i in range(40)]
+    return good, bad
+
+
+def test_resampling_separates(spark):
+    good, bad = quality_rows()
+    labels = spark.createDataFrame([(r[0], int(r[0] < 200), 0) for r in good[:60] + bad[:20]] + [(None, 1, 0), (5, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = table(spark, good + bad + odd_rows(), True)
+    got = {r.doc_id: r for r in resampling.resample(docs, labels).collect()}
+    assert all(got[r[0]].kept for r in good) and not any(got[r[0]].kept for r in bad)
+    assert not any(got[i].kept for i in (900, 901, 902)) and got[900].log_weight is None and got[901].n_ngrams == 0
+    kept = resampling.only_kept(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_resampling_takes_k(spark):
+    good, bad = quality_rows()
+    labels = spark.createDataFrame([(r[0], int(r[0] < 200), 0) for r in good[:60] + bad[:20]], "doc_id long, quality int, toxic int")
+    got = resampling.resample(table(spark, good + bad), labels, k=37).collect()
+    kept = [r.gumbel_key for r in got if r.kept]
+    assert len(kept) == 37 and min(kept) >= max(r.gumbel_key for r in got if not r.kept)
+    none = spark.createDataFrame([], labels.schema)
+    assert all(r.kept for r in resampling.resample(table(spark, good), none).collect())
+    assert resampling.resample(table(spark, []), labels).count() == 0
+
+
+def test_kth_largest(spark):
+    rng = random.Random(6)
+    values = [rng.choice([rng.gauss(0, 1), 1e9, -5.0, 0.25]) for _ in range(900)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (1, 2, 450, 899, 900):
+        assert resampling.kth_largest(df, "x", k, bins=8, few=3) == sorted(values, reverse=True)[k - 1]
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def item_words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def test_decontamination(spark, corpus):
+    rng = random.Random(5)
+    items = [(i, words(rng, n, 900)) for i, n in enumerate((40, 15, 13, 12, 3, 1, 60))] + [(50, None), (51, ""), (52, "one!"), (53, words(random.Random(5), 40, 900))]
+    rows = corpus + [(400 + k, "Über W1x, " + items[k % 7][1].upper() + " tail é", None, None, None) for k in range(7)] + [(410, " ".join(items[0][1].split()[5:20]), None, None, None)]
+    benchmark = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, doc_id string")
+    windows = collections.defaultdict(set)
+    for i, text in items:
+        w = item_words(text)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[k : k + 13])].add(i)
+
+    def check(got):
+        assert len(got) == len(rows)
+        by = {r[0]: r[1] for r in rows}
+        for r in got:
+            w = item_words(by[r.doc_id])
+            hit, of = set(), set()
+            for size in {len(x) for x in windows}:
+                for k in range(len(w) - size + 1):
+                    if (found := windows.get(tuple(w[k : k + size]))) is not None:
+                        hit.update(range(k, k + size))
+                        of |= found
+            sha = hashlib.sha256(",".join(sorted(map(str, of))).encode()).hexdigest()
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(of), sha, bool(hit) and 20 * len(hit) >= len(w))
+
+    docs = table(spark, rows, True)
+    check(decontaminate.contamination(docs, benchmark).collect())
+    whole, blocks = decontaminate.find_hits(docs.where("doc_id is not null"), benchmark), decontaminate.find_hits(docs.where("doc_id is not null"), benchmark, block_bytes=300)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, blocks.select(whole.columns).collect()))
+    clean = decontaminate.without_contaminated(docs, benchmark)
+    assert clean.columns == docs.columns and not {400, 401, 410} & {r.doc_id for r in clean.collect()}
+    nothing = decontaminate.contamination(docs, benchmark.limit(0)).collect()
+    assert not any(r.n_hit or r.contaminated for r in nothing) and decontaminate.contamination(docs.limit(0), benchmark).count() == 0
+
+
+def test_network_gradients():
+    n = language_id.Network(["a", "b", "c"], 3)
+    n.p = {k: v.astype(np.float64) for k, v in n.p.items()}
+    pieces, y = [b"hello", b"ab", b"wxyzq1", b"x"], np.array([0, 1, 2, 1])
+
+    def loss():
+        *_, mask, _, s = n.states(pieces, 6)
+        p = n.probabilities(s)
+        return -(np.log(p[:, np.arange(4), y]) * mask).sum() / mask.sum()
+
+    forth, back, mask, turn, s = n.states(pieces, 6, tapes := ([], []))
+    d = n.probabilities(s)
+    d[:, np.arange(4), y] -= 1
+    d *= mask[:, :, None] / mask.sum()
+    ds, g, h = d @ n.p["o"].T, {}, n.hidden
+    n._back("f", forth, mask, tapes[0], ds[:, :, :h], g)
+    n._back("b", back, mask, tapes[1], np.take_along_axis(ds[:, :, h:], turn[:, :, None], 0) * mask[:, :, None], g)
+    for name, at in (("uf", (1, 4)), ("ub", (2, 7)), ("xf", (ord("l"), 3)), ("xb", (ord("b"), 5))):
+        v = n.p[name]
+        keep, v[at] = v[at], v[at] + 1e-3
+        up, v[at] = loss(), keep - 1e-3
+        assert abs((up - loss()) / 2e-3 - g[name][at]) < 1e-5
+        v[at] = keep
+
+
+def test_language_id(spark):
+    rng = random.Random(7)
+    letters = {"aa": "abcde", "bb": "vwxyz", "cc": "éèçàù"}
+    make = lambda y, n: " ".join("".join(rng.choice(letters[y]) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(i, make(y, rng.randrange(3, 40)), y, "s", 0) for i, y in enumerate(rng.choices("aa aa aa bb cc".split(), k=160))]
+    docs = table(spark, rows + [(r[0], r[1], None, *r[3:]) for r in odd_rows()], True)
+    network = language_id.fit(docs, train_docs=100, steps=250)
+    assert network.languages == ["aa", "bb", "cc"]
+    got = {r.doc_id: r for r in language_id.identify(docs, network).collect()}
+    held = {r.doc_id for r in docs.where(language_id.held_out()).collect()}
+    assert {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2} <= held
+    assert np.mean([got[r[0]].lang_pred == r[2] for r in rows if r[0] in held]) > 0.95
+    assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert got[903][1:] == got[904][1:] and all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.where("doc_id >= 900"))).collect()} == {"und"}
+
+
+def test_packing(spark, corpus):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [r for r in corpus if r[0] is not None]
+    ids = {r[0]: tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in rows}
+    pieces = packing.pack(table(spark, rows, True), path).collect()
+    of, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        assert zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
+        of[p.doc_id].append(p)
+        bins[p.sequence_id].append(p)
+    assert set(of) == set(ids)
+    for i, ps in of.items():
+        ps.sort(key=lambda p: p.piece)
+        assert [p.piece for p in ps] == list(range(len(ps))) and [p.start for p in ps] == list(np.cumsum([0, *(p.length for p in ps)]))[:-1]
+        assert sum(p.length for p in ps) == len(ids[i]) and all(p.length == 2048 for p in ps[1:])
+    for ps in bins.values():
+        ps.sort(key=lambda p: p.offset)
+        assert [p.offset for p in ps] == list(np.cumsum([0, *(p.length for p in ps)]))[:-1] and sum(p.length for p in ps) <= 2048
+    assert packing.pack(table(spark, []), path).count() == 0
+
+
+def plain_best_fit(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(capacity - n)
+    return sorted(rooms)
+
+
+def test_moves_equal_piece_after_piece():
+    rng = random.Random(1)
+    for _ in range(60):
+        capacity = rng.randrange(1, 40)
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(0, 120))]
+        moves, bins = packing.best_fit_moves(collections.Counter(lengths), capacity)
+        used = collections.Counter()
+        for n, of in moves.items():
+            ends = [m[0] for m in of[1:]] + [collections.Counter(lengths)[n]]
+            for (begin, each, first, offset), end in zip(of, ends, strict=True):
+                for rank in range(begin, end):
+                    b = first + (rank - begin) // each
+                    assert used[b] == offset + (rank - begin) % each * n
+                    used[b] += n
+        assert sorted(capacity - used[b] for b in range(bins)) == plain_best_fit(lengths, capacity)
+
+
+def test_ids_equal_the_tokenizer():
+    ids, rng = packing.Ids(P.path("byte_bpe_50k.json")), random.Random(2)
+    assert ids.fast is not None
+    pool = [chr(c) for c in range(0x250)] + list("–—‘’“”…€") + ["<|endoftext|>", "中", "\U0001f600", "　", "͸"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool if rng.random() < 0.4 else list("ab c. \n1's")) for _ in range(rng.randrange(1, 20)))
+        assert ids.encode(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((400, 8)).astype(np.float32)
+    v[100:180] = v[7]  # ties
+    rows = [(int(i), [float(x) for x in v[i]], 1) for i in range(400)]
+    odd = [(1000, None, 1), (1050, [1.0, None, *[0.0] * 6], 1), (1100, [float("nan")] * 8, 1), (1150, [float("inf")] + [0.0] * 7, 1), (1200, [0.5] * 3, 1), (1201, [0.5] * 3, 1), (1250, [], 1), (None, [0.0] * 8, 1)]
+    whole = vector_search.whole_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit(1)))
+    held = {i: [math.floor(256 * x) for x in e] for i, e, _ in rows} | {1200: [128] * 3, 1201: [128] * 3, 1250: []}
+    want = []
+    for q in held:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(held[q], e, strict=True)), i) for i, e in held.items() if i != q and len(e) == len(held[q]))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    for options in ({}, {"query_block": 3, "scan_block": 16, "bits": 2}):
+        assert sorted(map(tuple, vector_search.top_k(whole, whole.where("vec_id % 50 = 0"), **options).collect())) == sorted(want)
+    assert vector_search.top_k(whole.limit(0), whole.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    hexa = hashlib.sha1(b"k").hexdigest()
+    rows = [
+        (1, f'le de token = "{hexa}" autre', None, None, None),
+        (2, f'TOKEN = "{hexa.upper()}"!! {hexa} commit {hexa} token = "{hexa}"', None, None, None),
+        (3, "card 4037590409210456 of 2024-01-02-10-33-21 and sectionheading12 page", None, None, None),
+        (4, "AKIA" + "Q7Z" * 5 + "X und ghp_" + "aB3" * 12, None, None, None),
+        (5, "id = 550e8400-e29b-41d4-a716-446655440000 path/to/some/file12", None, None, None),
+        (6, "password = hunter2xyzzy9 é ", None, None, None),
+    ]
+    docs = table(spark, rows + odd_rows(), True)
+    got = collections.defaultdict(list)
+    texts = {r[0]: r[1] for r in rows}
+    for r in secrets.secrets(docs).collect():
+        got[r.doc_id].append(r)
+        assert hashlib.sha256(texts[r.doc_id][r.first : r.first + r.length].encode()).hexdigest() == r.secret_sha256
+    assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 2, 4: 2, 6: 1}
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    after = {r.doc_id: r.text for r in out.collect()}
+    assert after[1] == 'le de token = "[SECRET]" autre' and after[3] == rows[2][1] and after[6] == "password = [SECRET] é " and after[900] is None and after[906] == "ab " * 40_000
+    assert after[2] == f'TOKEN = "[SECRET]"!! {hexa} commit {hexa} token = "[SECRET]"'
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_token_counts(spark, corpus):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = token_counts.count_tokens(table(spark, [r for r in corpus if r[0] is not None], True), path, limit=100).collect()
+    texts = {r[0]: r[1] or "" for r in corpus}
+    assert all((r.n_bytes, r.n_tokens) == (len(texts[r.doc_id].encode()), len(model.encode(texts[r.doc_id]))) and r.over_limit == (r.n_tokens > 100) for r in got)
+    lengths, rng = token_counts.Lengths(model, {}, 50), random.Random(2)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab ▁.é\n\t　<s>1") for _ in range(rng.randrange(0, 15)))
+        assert lengths.count(text) == len(model.encode(text))
+    assert token_counts.count_tokens(table(spark, []), path).count() == 0
+
+
+def page(body, title="T"):
+    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<nav><a>x</a></nav><article><h1>A &amp; B</h1><p>One<br>two<p>Three <b>four</article><footer>f</footer>", "A & B\n\nOne two\n\nThree four"),
+        ("<div class='cookie-notice'>c</div><div id=content><p>Text  here</p><ul><li>a<li>b</ul></div><div class='comments'><p>c</p></div>", "Text here\n\na\n\nb"),
+        ("<article><p>Keep</p><div class='ad'>buy</div><section id='comments'><p>no</p></section><form><input>no</form></article><aside>no</aside>", "Keep"),
+        ("<p>&lt;b&gt; &#233; &nbsp;x</p><!-- <p>no</p> --><p hidden>no</p><script>if (a < b) {}</script>", "<b> é x"),
+        ("loose text <i>here</i>", "loose text here"),
+        ("<article><header><h1>H</h1></header><p>a</article>", "a"),
+        ("<p>unclosed <a href='x>y'>z", "unclosed z"),
+        ("", ""),
+    ],
+)
+def test_pages(body, want):
+    got = html_extract.main_text(page(body), set())
+    assert got == want or (body.startswith("<article><header>") and got == "H\n\na")
+
+
+def test_html_extraction(spark):
+    rng = random.Random(1)
+    rows, want = [], {}
+    for i in range(40):
+        said = [words(rng, 12), words(rng, 30)]
+        banner = "<div class='x9'><p>Our site says hello to you</p></div>" if i < 30 else ""
+        rows.append((i, f"http://{'Hot' if i < 30 else 'h%d' % i}.example/p{i}", page(f"{banner}<div class='body'><p>{said[0]}</p><p>{said[1]}</p></div>"), "e"))
+        want[i] = "\n\n".join(said)
+    rows += [(100, None, None, "e"), (101, "", "", "e"), (102, "http://hot.example/", "<p>é", "e"), (103, "x", "<<<>< a", "e")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("host", F.lit(1))
+    got = {r.page_id: r for r in html_extract.extract(pages).collect()}
+    assert {i: got[i].text for i in want} == want and all(r.n_chars == len(r.text) for r in got.values())
+    assert got[100].text == got[101].text == "" and got[102].text == "é"
+    joined = {r.page_id: r.text for r in html_extract.extract(pages, tree_bytes=0).collect()}
+    assert joined == {i: r.text for i, r in got.items()}
+    assert html_extract.extract(pages.limit(0)).count() == 0
+    assert html_extract.host_of("HTTPS://u@Ab.c:80/x") == "ab.c"
+    assert html.unescape(got[0].text) == got[0].text
