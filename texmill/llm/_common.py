@@ -41,6 +41,37 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_BATCH_BYTES, _DEFAULT_BYTES, _OUR_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
+
+def _give_back() -> None:
+    """Return a finished task's memory to the machine; a worker lives on and serves other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(fn, schema) with batches of some 8 MB (unless the session sets a size), since texts can be long."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, None) == _DEFAULT_BYTES:
+        conf.set(_BATCH_BYTES, str(_OUR_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
     """mapInArrow function that applies fn to every batch and skips what is None."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texmill.llm._common import keep, read
+from texmill.llm._common import keep, map_batches, read
 
 #: Bytes to words: A-Z lower-cased, all other ASCII but 0-9 and a-z a blank; bytes over 0x7F belong to words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -176,7 +176,7 @@ def _count_shingles(docs: DataFrame, windows) -> dict[int, int]:
                     seen.update(dict(zip(*(x.tolist() for x in np.unique(at[keys.among(at)], return_counts=True)), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["shingle", "n"])
 
-    return {r.shingle: r.n for r in docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()}
+    return {r.shingle: r.n for r in docs.select("text").transform(map_batches, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8_000_000) -> DataFrame:
@@ -207,7 +207,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-        parts.append(docs.mapInArrow(match, schema))
+        parts.append(docs.transform(map_batches, match, schema))
     if blocks == 1:
         return parts[0]
     out = keep(parts[0], "hits")

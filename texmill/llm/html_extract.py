@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texmill.llm._common import keep, read
+from texmill.llm._common import keep, map_batches, read
 
 # Elements without an end, without text, that break blocks, and names of what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -184,7 +184,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    values = pages.select("url", "html").mapInArrow(count, "host string, path string, value long, is_content boolean, n long").groupBy("host", "path", "is_content", "value").agg(F.sum("n").alias("n"))
+    values = pages.select("url", "html").transform(map_batches, count, "host string, path string, value long, is_content boolean, n long").groupBy("host", "path", "is_content", "value").agg(F.sum("n").alias("n"))
     nodes = values.groupBy("host", "path", "is_content").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     entropy = F.when(F.col("pages") > 1, (F.log2("pages") - F.col("s") / F.col("pages")) / F.log2("pages")).otherwise(1.0)  # 1: all differ, 0: all alike
     return nodes.withColumn("e", entropy).groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(F.when(F.col("is_content"), F.col("e"))).alias("contents"), F.max(F.when(~F.col("is_content"), F.col("e"))).alias("presentations"))
@@ -235,7 +235,7 @@ def extract(pages: DataFrame, tree_bytes: int = 32_000_000) -> DataFrame:
                 texts = [main_text(source, given.value.get(host_of(url), set())) for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-        out = pages.select("page_id", "url", "html").mapInArrow(run, schema)
+        out = pages.select("page_id", "url", "html").transform(map_batches, run, schema)
     else:
         hosts = keep(low.groupBy("host").agg(F.collect_list("path").alias("paths")), "hosts")
         host = F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)", 1))
@@ -246,7 +246,7 @@ def extract(pages: DataFrame, tree_bytes: int = 32_000_000) -> DataFrame:
                 texts = [main_text(source, set(paths or ())) for source, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-        out = joined.mapInArrow(run, schema)
+        out = joined.transform(map_batches, run, schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

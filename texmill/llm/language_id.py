@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texmill.llm._common import read
+from texmill.llm._common import map_batches, read
 from texmill.llm.resampling import runs
 
 PIECE = 24
@@ -149,7 +149,7 @@ class Network:
 class Reader:
     """Distributions of whole texts, with a memory of runs."""
 
-    def __init__(self, network: Network, size: int = 600_000):
+    def __init__(self, network: Network, size: int = 300_000):
         self.network, self.most = network, size
         self.clear()
 
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, train_docs: int = 6000, train_runs: int = 64, hidden: i
                     found.append([words[k * len(words) // min(train_runs, len(words))][:PIECE] for k in range(min(train_runs, len(words)))])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "lang", "runs"])
 
-    rows = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(draw, "doc_id long, lang string, runs array<binary>").collect()  # train_docs * train_runs pieces
+    rows = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").transform(map_batches, draw, "doc_id long, lang string, runs array<binary>").collect()  # train_docs * train_runs pieces
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
             found = [x for _, texts in runs(batch.column(1).to_pylist()) for x in reader.read(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(map_batches, predict, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texmill.llm._common import keep, per_batch, read
+from texmill.llm._common import keep, map_batches, per_batch, read
 from texmill.llm.components import connected_components
 from texmill.llm.shingles import Words, shingle_set
 
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             at += BANDS if len(s) else 0
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "d0", "d1", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(sketch), "doc_id long, n long, d0 long, d1 long, bands array<long>")
+    return docs.select("doc_id", "text").transform(map_batches, per_batch(sketch), "doc_id long, n long, d0 long, d1 long, bands array<long>")
 
 
 def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
@@ -95,7 +95,7 @@ def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
         values = np.concatenate(sets) if sets else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(arrays), "id long, shingles array<long>")
+    return docs.select("doc_id", "text").transform(map_batches, per_batch(arrays), "id long, shingles array<long>")
 
 
 def _equal_registers(a: str, b: str) -> Column:

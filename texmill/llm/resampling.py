@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texmill.llm._common import keep, read
+from texmill.llm._common import keep, map_batches, read
 from texmill.llm.shingles import mix
 
 WORDS, PAIRS, SHAPES = 4096, 4096, 1024
@@ -49,7 +49,7 @@ def shape(word: bytes) -> int:
 class Coded(dict):
     """Word -> 56 bits of hash and 8 bits of shape, bounded."""
 
-    def __init__(self, size: int = 400_000):
+    def __init__(self, size: int = 150_000):
         super().__init__()
         self.most = size
 
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, seed: int
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    sums = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = docs.select("doc_id", "text").transform(map_batches, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums.collect():  # at most BUCKETS rows
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, model: Model, size: str = "n_ngrams", weight: str =
                     weights.append(float(worth[a:b].sum()) if b > a else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(weights, pa.float64())], [*names, size, weight])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(weight, T.DoubleType())]))
+    return docs.transform(map_batches, score, T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(weight, T.DoubleType())]))
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -236,7 +236,7 @@ def choose(scores: DataFrame, labels: dict, k: int | None, seed: int) -> float:
                 mask = [i in given.value for i in batch.column(0).to_pylist()]
                 yield batch.filter(pa.array(mask, pa.bool_()))
 
-        found = keyed.select("doc_id", "key").mapInArrow(only_labelled, f"doc_id {kinds}, key double").collect()  # label_rows at most, if ids are unique
+        found = keyed.select("doc_id", "key").transform(map_batches, only_labelled, f"doc_id {kinds}, key double").collect()  # label_rows at most, if ids are unique
         cut = best_cut([(r.key, labels[r.doc_id]) for r in found])
         k = keyed.where(F.col("key") >= cut).count()
     if not k:

@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word -> 64-bit number, bounded; the number depends on the word alone."""
 
-    def __init__(self, size: int = 400_000):
+    def __init__(self, size: int = 150_000):
         super().__init__()
         self.most = size
 

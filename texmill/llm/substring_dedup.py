@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from texmill.llm._common import read
+from texmill.llm._common import map_batches, read
 from texmill.llm.resampling import runs
 from texmill.llm.shingles import mix
 
@@ -124,7 +124,7 @@ def hot_digests(docs: DataFrame, chunker: Chunker, hot: int, per_partition: int
         cols = [np.append(x[take], y) for x, y in ((digest.view(np.int64), 0), (n, 0), (low, 0), (high, 0), (np.zeros(len(digest), np.int64), total))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["digest", "n", "low", "high", "total"])
 
-    parts = docs.mapInArrow(summary, "digest long, n long, low long, high long, total long")
+    parts = docs.transform(map_batches, summary, "digest long, n long, low long, high long, total long")
     sums = parts.groupBy("digest").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"))
     rows = sums.where("n > 1 or total > 0").orderBy(F.desc("n"), "digest").limit(hot + 1).collect() + sums.where("total > 0").limit(1).collect()
     total = max((r.total for r in rows), default=0)
@@ -153,7 +153,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 25, hot: int = 10_000, chun
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(place), pa.array(other, mask=~is_hot)], ["key", "doc_id", "place", "other"])
 
     same = Window.partitionBy("key")
-    chunks = docs.mapInArrow(chunked, "key long, doc_id long, place long, other long").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)})
+    chunks = docs.transform(map_batches, chunked, "key long, doc_id long, place long, other long").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)})
     other = F.coalesce("other", F.when(F.col("low") != F.col("high"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))))
     hits = chunks.select("doc_id", "place", other.alias("other")).where("other is not null")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texmill.llm._common import read
+from texmill.llm._common import map_batches, read
 
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
@@ -54,7 +54,7 @@ def frequent_pretokens(docs: DataFrame, table_size: int = 8192, per_partition: i
         best = [(t, n) for t, n in seen.most_common(per_partition) if len(t) <= 64 and MARK not in t]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["pretoken", "n"])
 
-    rows = docs.select("text").mapInArrow(top, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(table_size).collect()
+    rows = docs.select("text").transform(map_batches, top, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(table_size).collect()
     return [r.pretoken for r in rows]
 
 
@@ -83,7 +83,7 @@ class Lengths(dict):
         return sum(map(self.__getitem__, pretokens(text)))
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, table_size: int = 8192, cache_size: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, table_size: int = 8192, cache_size: int = 150_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) of every row of docs."""
     import sentencepiece
 
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, table_size
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return sized.mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return sized.transform(map_batches, count, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from texmill.llm._common import keep, read
+from texmill.llm._common import keep, map_batches, read
 
 
 class Best:
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, que
                 found = b.id != np.iinfo(np.int64).max
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.ids, k)[found.ravel()]), pa.array(b.id[found]), pa.array(b.score[found])], names)
 
-        parts.append(vectors.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long"))
+        parts.append(vectors.select("vec_id", "v").transform(map_batches, search, "query_id long, vec_id long, score long"))
     found = parts[0] if len(parts) == 1 else None
     for part in parts if found is None else ():
         part = keep(part, "neighbours")
