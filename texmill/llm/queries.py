@@ -10,12 +10,12 @@ from texmill.llm.decontaminate import op4_benchmark_decontamination
 from texmill.llm.html_extract import op10_html_extraction
 from texmill.llm.language_id import op5_language_id
 from texmill.llm.near_dedup import op2_minhash_near_dedup
+from texmill.llm.oracles import SQL
 from texmill.llm.packing import op6_best_fit_packing
 from texmill.llm.resampling import op3_importance_resampling
 from texmill.llm.secrets import op8_secret_scan
 from texmill.llm.substring_dedup import op1_substring_dedup
 from texmill.llm.token_counts import op9_token_counts
-from texmill.llm.vector_search import ORACLE as TOP_K_SQL
 from texmill.llm.vector_search import op7_exact_top_k
 
 
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": TOP_K_SQL}
+    return dict(SQL)
