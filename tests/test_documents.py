@@ -191,3 +191,27 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         translate_stream(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "state")).count() == 5
+
+
+def test_state_and_data_source(spark, tmp_path):
+    from texmill.sources import state
+    from texmill.sources.datasource import Papers
+
+    state.save_parser_state(parsed(spark), str(tmp_path / "s"))
+    names = {r.placeholder for r in state.load_valid_placeholders(spark, str(tmp_path / "s")).collect()}
+    assert names == {r.id for r in parsed(spark).where("kind = 'placeholder'").collect()}
+    calls = spark.createDataFrame([("m", True), ("n", False)], "model string, ok boolean")
+    state.append_results(calls, str(tmp_path / "r"), "model")
+    assert tuple(state.append_results(calls, str(tmp_path / "r"), "model").first()) == (4, 2, 2, 2)
+    (tmp_path / "2301.00001.tar.gz").write_bytes(archive({"main.tex": "x"}))
+    spark.dataSource.register(Papers)
+    got = spark.read.format("papers").option("ids", "2301.00001, 2301.00002").option("cache", str(tmp_path)).load()
+    assert [(r.paper_id, r.path) for r in papers.extracted(got).collect()] == [("2301.00001", "main.tex")]
+
+
+def test_compiling_without_an_engine(spark):
+    from texmill.operators import compiling
+
+    row = compiling.compiled(spark.createDataFrame([("d", "x")], "doc_id string, tex string")).first()
+    assert row.success or row.error
+    assert [c[0] for c in compiling.passes("e", "bibtex")] == ["e", "bibtex", "e", "bibtex", "e", "e"]

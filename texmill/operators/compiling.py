@@ -1,0 +1,66 @@
+"""PDFs from rebuilt documents, where a TeX engine is installed: a sink with a result row per document."""
+
+from __future__ import annotations
+
+import os
+import shutil
+import subprocess
+import tempfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from texmill.functions.text import bibliography_tool, first_tex_error
+
+# Engines in the order of trial.
+ENGINES = ("xelatex", "lualatex", "pdflatex")
+RESULT = "doc_id string, success boolean, pdf binary, log string, engine string"
+
+
+def passes(engine: str, tool: str | None) -> list[list[str]]:
+    """Commands in order: the engine, the bibliography tool if any, and the engine until references settle."""
+    tex = [engine, "-interaction=nonstopmode", "main.tex"]
+    return [tex, [tool, "main"], tex, [tool, "main"], tex, tex] if tool else [tex, tex]
+
+
+def compile_one(tex: str, files: dict[str, str], tool: str | None, timeout: float, engines: tuple[str, ...] = ENGINES) -> tuple[bool, bytes | None, str, str | None]:
+    """(success, pdf, log, engine): the first installed engine that makes a PDF; the last log otherwise."""
+    log = "no TeX engine is installed"
+    for engine in engines:
+        if not shutil.which(engine):
+            continue
+        with tempfile.TemporaryDirectory() as folder:
+            for name, text in files.items():
+                if not os.path.basename(name).startswith("."):
+                    path = os.path.join(folder, os.path.normpath(name))
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(path, "w", encoding="utf-8") as f:
+                        f.write(text)
+            with open(os.path.join(folder, "main.tex"), "w", encoding="utf-8") as f:
+                f.write(tex)
+            for command in passes(engine, tool if tool and shutil.which(tool) else None):
+                try:
+                    done = subprocess.run(command, cwd=folder, capture_output=True, text=True, errors="replace", timeout=timeout)
+                    log = done.stdout
+                except subprocess.TimeoutExpired:
+                    log = f"! {engine} took over {timeout} s"
+                    break
+            pdf = os.path.join(folder, "main.pdf")
+            if os.path.exists(pdf):
+                with open(pdf, "rb") as f:
+                    return True, f.read(), log, engine
+    return False, None, log, None
+
+
+def compiled(documents: DataFrame, timeout: float = 120.0) -> DataFrame:
+    """doc_id, success, pdf, log, engine, error of documents (doc_id, tex)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(d.doc_id, *compile_one(d.tex, {}, d.tool, timeout)) for d in frame.itertuples()]
+            yield pd.DataFrame(rows, columns=["doc_id", "success", "pdf", "log", "engine"])
+
+    out = documents.select("doc_id", "tex", bibliography_tool(F.col("tex")).alias("tool")).mapInPandas(run, RESULT)
+    return out.withColumn("error", F.when(~F.col("success"), F.coalesce(first_tex_error(F.col("log")), F.left("log", F.lit(200)))))

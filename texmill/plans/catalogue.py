@@ -99,9 +99,67 @@ def archive_kinds(spark, sf_dir):
     return pages.select("page_id", fn.archive_kind(content).alias("kind"))
 
 
+@query(f"""WITH f AS ({fx.FILES}), r AS (SELECT paper_id, path, list_position(['main.tex','paper.tex','arxiv.tex'], lower(regexp_extract(path, '([^/]+)$', 1))) AS place, contains(content, concat({B}, 'documentclass')) AS classed FROM f WHERE path LIKE '%.tex'),
+  k AS (SELECT *, CASE WHEN place > 0 THEN 0 WHEN classed THEN 1 ELSE 2 END AS rank FROM r)
+  SELECT paper_id, path, CASE rank WHEN 0 THEN 'name' WHEN 1 THEN 'documentclass' ELSE 'first' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rank, CASE WHEN rank = 0 THEN place END, path) AS n FROM k) WHERE n = 1""")
+def main_file_survey(spark, sf_dir):
+    return papers.main_files(fx.made(spark, sf_dir, fx.FILES), papers.MAIN_NAMES[:3], whole=True)
+
+
+@query(f"WITH f AS ({fx.FILES}) SELECT paper_id, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, count(*) AS n FROM f GROUP BY ALL")
+def extension_map(spark, sf_dir):
+    return analytics.file_structure(fx.made(spark, sf_dir, fx.FILES)).select("paper_id", F.explode("extensions").alias("ext", "n"))
+
+
+@query(f"WITH f AS ({fx.FILES}) SELECT CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) WHEN '.tex' THEN 'tex' WHEN '.bib' THEN 'bib' WHEN '.png' THEN 'image' ELSE 'other' END AS kind, count(*) AS n FROM f GROUP BY 1")
+def member_classes(spark, sf_dir):
+    return analytics.histogram(fx.made(spark, sf_dir, fx.FILES).select(fn.member_class(F.col("path")).alias("kind")), "kind")
+
+
+@query("SELECT 'Noto Sans CJK SC' AS main, 'Noto Sans CJK SC' AS sans, 'FangSong' AS mono")
+def font_choice(spark, sf_dir):
+    from texmill.sources.settings import pick_fonts
+
+    return pick_fonts(spark.range(1).select(F.explode(F.array(*map(F.lit, ("Arial", "Noto Sans CJK SC", "SimHei", "FangSong")))).alias("family")))
+
+
 # Text functions
 
 
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('https://api', CAST(page_id AS STRING)) ELSE concat('https://api', CAST(page_id AS STRING), '/v2') END AS endpoint FROM pages")
+def endpoint_normalise(spark, sf_dir):
+    host = F.concat(F.lit("https://api"), F.col("page_id").cast("string"))
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(host, F.lit("/v1/chat/completions"))).when(F.col("page_id") % 3 == 1, F.concat(host, F.lit("/v2/messages/"))).otherwise(F.concat(host, F.lit("/v2/")))
+    return _table(spark, sf_dir, "pages").select("page_id", fn.endpoint(url).alias("endpoint"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END AS n, left(concat('failed ', repeat('x ', 150)), 240) AS error FROM events")
+def safe_values(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("many")
+    return _table(spark, sf_dir, "events").select("event_id", fn.safe_int(raw).alias("n"), fn.short_error(F.concat(F.lit(" failed  "), F.repeat(F.lit("x "), 150))).alias("error"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('! Undefined ', CAST(event_id AS STRING), chr(10), 'l.1', chr(10), 'l.2', chr(10), 'l.3', chr(10), 'l.4') WHEN 1 THEN 'x Fatal error y' END AS error FROM events")
+def tex_errors(spark, sf_dir):
+    e = F.col("event_id")
+    log = F.when(e % 3 == 0, F.concat(F.lit("start\n! Undefined "), e.cast("string"), F.lit("\nl.1\nl.2\nl.3\nl.4\nl.5"))).when(e % 3 == 1, "a\nx Fatal error y\nb").otherwise("fine")
+    return _table(spark, sf_dir, "events").select("event_id", fn.first_tex_error(log).alias("error"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'biber' WHEN 1 THEN 'bibtex' END AS tool FROM pages")
+def bibliography_tools(spark, sf_dir):
+    p = F.col("page_id")
+    tex = F.when(p % 3 == 0, "\\usepackage[style=x]{biblatex}").when(p % 3 == 1, "\\bibliography{a}").otherwise("none")
+    return _table(spark, sf_dir, "pages").select("page_id", fn.bibliography_tool(tex).alias("tool"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'bool' WHEN 1 THEN 'int' WHEN 2 THEN 'float' ELSE 'string' END AS kind, CASE page_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN CAST(page_id AS STRING) WHEN 2 THEN concat(CAST(page_id AS STRING), '.5') ELSE 'words' END AS value FROM pages")
+def config_values(spark, sf_dir):
+    p = F.col("page_id")
+    raw = F.when(p % 4 == 0, "True").when(p % 4 == 1, p.cast("string")).when(p % 4 == 2, F.concat(p.cast("string"), F.lit(".5"))).otherwise("words")
+    return _table(spark, sf_dir, "pages").select("page_id", fn.config_value(raw).alias("v")).select("page_id", "v.kind", "v.value")
+
+
 @query(f"""WITH t AS ({fx.TEX}), l AS (SELECT doc_id, list_transform(string_split(tex, chr(10)), lambda x: {{'line': x, 'cut': CASE WHEN left(ltrim(x), 1) = '%' THEN NULL ELSE rtrim(regexp_replace(regexp_replace(x, '^%.*$', ''), '([^' || repeat({B}, 2) || '])%.*$', concat({B}, '1'))) END}}) AS ls FROM t)
   SELECT doc_id, md5(array_to_string(list_transform(list_filter(ls, lambda x: x.cut IS NOT NULL AND (trim(x.cut) <> '' OR trim(x.line) = '')), lambda x: x.cut), chr(10))) AS digest FROM l""")
 def strip_comments(spark, sf_dir):
@@ -204,6 +262,14 @@ def brace_structure_mismatch(spark, sf_dir):
     return docs.select("doc_id", validate.first_brace_mismatch(s, t).alias("m")).where("m is not null").select("doc_id", "m.*")
 
 
+@query("""WITH t AS (SELECT doc_id, concat('{', repeat('{b}', CAST(doc_id % 4 AS INTEGER)), '}') AS x FROM documents)
+  SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(length(x) - 1 AS BIGINT) AS close FROM t UNION ALL SELECT doc_id, CAST(1 + 3 * k AS BIGINT), CAST(3 + 3 * k AS BIGINT) FROM (SELECT doc_id, unnest(range(0, doc_id % 4)) AS k FROM documents) y""")
+def brace_match_pairs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("{"), F.repeat(F.lit("{b}"), (F.col("doc_id") % 4).cast("int")), F.lit("}")).alias("text"))
+    found = brackets.matched(brackets.brackets(docs), F.col("bracket").isin("{", "["), ["doc_id"])
+    return found.where("close is not null").select("doc_id", "pos", F.col("close").cast("long").alias("close"))
+
+
 # Chunks, routing and batches
 
 
@@ -527,6 +593,43 @@ def usage_meta(spark, sf_dir):
     return events.select("event_id", m["cache_hit"].alias("cache_hit"), m["cached_tokens"].alias("cached"), m["prompt_tokens"].alias("prompt"))
 
 
+@query("SELECT doc_id, concat('Context:', CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), 'Abstract: ', lang) ELSE '' END) AS context FROM documents WHERE lang IS NOT NULL")
+def merged_context(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("lang is not null")
+    return docs.select("doc_id", prompts.merged_context(F.lit("Context:"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("context"))
+
+
+@query(f"SELECT doc_id, concat('{prompts.DEFAULT_STYLE}', chr(10), chr(10), '{prompts.FIXED_RULES}', CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), 'Glossary:', chr(10), '- ', lang, ': x') ELSE '' END, chr(10), chr(10), 'Context:', chr(10), lang) AS prompt FROM documents WHERE lang IS NOT NULL")
+def system_prompts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("lang is not null")
+    hints = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.col("lang"), F.lit("x"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    return docs.select("doc_id", prompts.system_prompt(hints=hints, context=F.col("lang")).alias("prompt"))
+
+
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, 'system user assistant user' AS roles, md5(text) AS last FROM conversations WHERE text IS NOT NULL")
+def message_lists(spark, sf_dir):
+    examples = F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in (("a", "b"), (" ", "c"))))
+    turns = _table(spark, sf_dir, "conversations").where("text is not null").withColumn("m", prompts.messages(F.lit("s"), examples, F.col("text")))
+    return turns.select("conv_id", "turn", F.array_join(F.col("m.role"), " ").alias("roles"), F.md5(F.element_at("m", -1)["content"]).alias("last"))
+
+
+@query(f"WITH t AS ({fx.TEX}) SELECT CAST(doc_id AS STRING) AS doc_id, 'title' AS context, CAST(3 AS BIGINT) AS line FROM t UNION ALL SELECT CAST(doc_id AS STRING), 'section', CAST(8 AS BIGINT) FROM t")
+def chunk_start_lines(spark, sf_dir):
+    rows = parse.parse(_tex(spark, sf_dir))
+    lines = rebuild.rebuild(rows).select("doc_id", F.explode("start_lines").alias("id", "line"))
+    return rows.where("kind = 'chunk' and context in ('title', 'section')").join(lines, ["doc_id", "id"]).select("doc_id", "context", F.col("line").cast("long").alias("line"))
+
+
+@query(f"WITH t AS ({fx.TEX}) SELECT CAST(doc_id AS STRING) AS doc_id, count(*) AS n FROM (SELECT doc_id, unnest(['cite', 'ref', 'label']) FROM t WHERE length(tex) - length(replace(tex, '$', '')) = 2) x GROUP BY doc_id")
+def stored_placeholders(spark, sf_dir):
+    """Command placeholders that a stored parser state lists, of documents whose text has no dollar."""
+    from texmill.sources.state import SCHEMA, parser_state
+
+    docs = _tex(spark, sf_dir).where(F.length("tex") - F.length(F.replace("tex", F.lit("$"), F.lit(""))) == 2)
+    held = parser_state(parse.parse(docs)).select("doc_id", F.explode(F.from_json("state", SCHEMA)["all_valid_placeholders"]).alias("p"))
+    return held.where(F.col("p").rlike("CITE|REF|LABEL")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query()
 def parsed_documents(spark, sf_dir):
     return parse.parse(_tex(spark, sf_dir))

@@ -62,18 +62,19 @@ def extracted(found: DataFrame) -> DataFrame:
     return found.select("paper_id", "content").mapInPandas(run, "paper_id string, archive_kind string, path string, size long, content string")
 
 
-def main_files(files: DataFrame) -> DataFrame:
+def main_files(files: DataFrame, names: tuple[str, ...] = MAIN_NAMES, whole: bool = False) -> DataFrame:
     """paper_id, path, method: a file of a main name (best first), else the first with a document class, else the largest.
 
-    A document class counts within the first 5000 characters, without comments.
+    A document class counts within the first 5000 characters, without comments. whole: it counts anywhere, comments
+    too, and the last resort is the first file, as surveys of many papers do it.
     """
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
-    by_name = F.array_position(F.array(*map(F.lit, MAIN_NAMES)), name)
-    head = F.regexp_replace(F.left("content", F.lit(5000)), r"(?dm)(?<!\\)%.*$", "")
+    by_name = F.array_position(F.array(*map(F.lit, names)), name)
+    head = F.col("content") if whole else F.regexp_replace(F.left("content", F.lit(5000)), r"(?dm)(?<!\\)%.*$", "")
     rank = F.when(by_name > 0, 0).when(F.contains(head, F.lit("\\documentclass")), 1).otherwise(2)
     rows = files.where(F.lower("path").endswith(".tex")).select("paper_id", "path", "size", by_name.alias("place"), rank.alias("rank"))
-    best = Window.partitionBy("paper_id").orderBy("rank", F.when(F.col("rank") == 0, F.col("place")), F.when(F.col("rank") == 2, -F.col("size")), "path")
-    method = F.element_at(F.array(F.lit("name"), F.lit("documentclass"), F.lit("largest")), F.col("rank") + 1)
+    best = Window.partitionBy("paper_id").orderBy("rank", F.when(F.col("rank") == 0, F.col("place")), F.when(F.col("rank") == 2, F.lit(0) if whole else -F.col("size")), "path")
+    method = F.element_at(F.array(F.lit("name"), F.lit("documentclass"), F.lit("first" if whole else "largest")), F.col("rank") + 1)
     return rows.withColumn("r", F.row_number().over(best)).where("r = 1").select("paper_id", "path", method.alias("method"))
 
 
