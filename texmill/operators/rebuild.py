@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from texmill.functions.text import CHUNK_TOKEN, PLACEHOLDER, escape_specials
 
 ROUNDS = 10
 _TOKEN = re.compile(f"{PLACEHOLDER}|{CHUNK_TOKEN}")
+#: Where a chunk begins while a document is put together; private-use characters.
+_MARK = re.compile("\ue000(\\d+)\ue001")
 
 
 def chunk_text(content, translated, wrapper, context):
@@ -44,28 +47,37 @@ def rebuild(parsed: DataFrame, translations: DataFrame | None = None) -> DataFra
     filled = F.when(F.col("kind") == "chunk", chunk_text(F.col("content"), F.col("translation"), F.col("wrapper"), F.col("context"))).otherwise(F.col("content"))
     ready = done.select("doc_id", "kind", "ord", "id", "wrapper", filled.alias("content"))
 
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        mark = "\ue000{}\ue001"
-        chunks, known = [], {}
-        for r in frame.sort_values("ord").itertuples():
-            if r.kind == "chunk":
-                lead = r.wrapper.partition("%s")[0]
-                known[f"{{{{CHUNK_{r.id}}}}}"] = lead + mark.format(len(chunks)) + r.content[len(lead) :]
-                chunks.append(r.id)
-            elif r.kind == "placeholder":
-                known[r.id] = r.content
-        templates = frame[frame.kind == "template"].sort_values("ord").content
-        marked = expand("".join(templates), known)
-        out, line, lines, at = [], 1, {}, 0
-        for m in re.finditer("\ue000(\\d+)\ue001", marked):
-            piece = marked[at : m.start()]
-            line += piece.count("\n")
-            lines.setdefault(chunks[int(m[1])], line)
-            out.append(piece)
-            at = m.end()
-        return pd.DataFrame([(frame.doc_id.iloc[0], "".join([*out, marked[at:]]), lines)], columns=["doc_id", "tex", "start_lines"])
-
-    return ready.groupBy("doc_id").applyInPandas(whole, "doc_id string, tex string, start_lines map<string,int>")
+    grouped = ready.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "ord", "id", "wrapper", "content")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [whole(parts) for parts in batch.column(1).to_pylist()]
+            lines = pa.array([list(m[1].items()) for m in made], pa.map_(pa.string(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), lines], ["doc_id", "tex", "start_lines"])
+
+    return grouped.mapInArrow(run, "doc_id string, tex string, start_lines map<string,int>")
+
+
+def whole(parts: list[dict]) -> tuple[str, dict[str, int]]:
+    """A document's text from its template, chunks and placeholders, and the line on which each chunk begins."""
+    chunks, known = [], {}
+    parts = sorted(parts, key=lambda p: p["ord"])
+    for p in parts:
+        if p["kind"] == "chunk":
+            lead = p["wrapper"].partition("%s")[0]
+            known[f"{{{{CHUNK_{p['id']}}}}}"] = f"{lead}\ue000{len(chunks)}\ue001{p['content'][len(lead) :]}"
+            chunks.append(p["id"])
+        elif p["kind"] == "placeholder":
+            known[p["id"]] = p["content"]
+    marked = expand("".join(p["content"] for p in parts if p["kind"] == "template"), known)
+    out, line, lines, at = [], 1, {}, 0
+    for m in _MARK.finditer(marked):
+        piece = marked[at : m.start()]
+        line += piece.count("\n")
+        lines.setdefault(chunks[int(m[1])], line)
+        out.append(piece)
+        at = m.end()
+    return "".join([*out, marked[at:]]), lines
 
 
 def leftovers(rebuilt: DataFrame) -> DataFrame:
