@@ -236,7 +236,7 @@ def choose(scores: DataFrame, labels: dict, k: int | None, seed: int) -> float:
                 mask = [i in given.value for i in batch.column(0).to_pylist()]
                 yield batch.filter(pa.array(mask, pa.bool_()))
 
-        found = keyed.select("doc_id", "key").transform(map_batches, only_labelled, f"doc_id {kinds}, key double").collect()  # label_rows at most, if ids are unique
+        found = keyed.select("doc_id", "key").transform(map_batches, only_labelled, f"doc_id {kinds}, key double").groupBy("doc_id").agg(F.max("key").alias("key")).collect()  # label_rows at most
         cut = best_cut([(r.key, labels[r.doc_id]) for r in found])
         k = keyed.where(F.col("key") >= cut).count()
     if not k:
