@@ -416,6 +416,8 @@ def page(body, title="T"):
         ("loose text <i>here</i>", "loose text here"),
         ("<article><header><h1>H</h1></header><p>a</article>", "a"),
         ("<p>unclosed <a href='x>y'>z", "unclosed z"),
+        ("<article class='post'><div class='entry-header'><h1>H</h1></div><p>a<article id='comment-3' class='comment'><p>no</p></article></article>", "H\n\na"),
+        ("<div class='siteHeader'>no</div><div class='sideBar'><p>no</p></div><div><p>yes</p></div>", "yes"),
         ("", ""),
     ],
 )
@@ -424,6 +426,12 @@ def test_pages(body, want):
     assert got == want or (body.startswith("<article><header>") and got == "H\n\na")
 
 
+def test_pages_without_the_usual_frame():
+    assert html_extract.main_text("<head><title>t</title><p>text <!-- open", set()) == "text"
+    assert html_extract.main_text("a<script>x", set()) == "a"
+    assert html_extract.main_text("<title>t</title>a &amp;amp; b&#x41;", set()) == "a &amp; bA"
+
+
 def test_html_extraction(spark):
     rng = random.Random(1)
     rows, want = [], {}

@@ -32,13 +32,16 @@ from texmill.llm._common import keep, map_batches, read
 
 # Elements without an end, without text, that break blocks, and names of what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button head".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_ARTICLE = frozenset("nav footer aside form menu dialog header".split())
 NO_ARTICLE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|sidebar|side|aside|ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|sidebar|side|aside|ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+#: Names of a page's head, and not of an article's head inside the article; names that make even an article none.
+HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head|topbar)(?:$|[\s_-])", re.I)
+NO_ARTICLE_ITSELF = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|related|recommended|teaser|promo\w*|sponsor\w*|advert\w*|ads?)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 #: Elements that another of these closes when it begins.
 CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -46,6 +49,7 @@ CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd"
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMED = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGITS = re.compile(r"\d+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def host_of(url: str | None) -> str:
@@ -98,12 +102,18 @@ class Page:
                 if self.stack[depth][0] in BLOCKS:
                     break
             self._flush()
-        label, off = name, name in NO_ARTICLE and not (name == "header" and any(s[0] in ("article", "main") for s in self.stack))
+        inside = any(s[0] in ("article", "main") for s in self.stack)
+        label, off = name, name in NO_ARTICLE and not (name == "header" and inside)
         if attributes and not attributes.isspace():
             given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)}
             names = f"{given.get('class', '')} {given.get('id', '')}"
-            if name not in ("html", "body", "article", "main"):
-                off |= bool(NO_ARTICLE_NAMES.search(names)) or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+            said = _CAMEL.sub("-", names)
+            if name in ("article", "main"):
+                off |= bool(NO_ARTICLE_ITSELF.search(said))
+            elif name not in ("html", "body"):
+                off |= bool(NO_ARTICLE_NAMES.search(said)) or (not inside and bool(HEAD_NAMES.search(said)))
+            if name not in ("html", "body"):
+                off |= given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
             if names.strip():
                 label += "." + _DIGITS.sub("#", ".".join(sorted(names.split()[:4])))
         self.has_main |= name in ("article", "main") and not off
@@ -134,13 +144,10 @@ class Page:
                     if self.stack[depth][0] == name:
                         self._close(depth)
                         break
-            elif name in SILENT and name != "head":
+            elif name in SILENT:
                 if not m[3].endswith("/"):
-                    stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                    stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                     at = stop.end() if stop else end
-            elif name == "head":
-                stop = re.compile(r"</head\s*>|<body[\s>]", re.I).search(source, at)
-                at = end if not stop else stop.end() if stop[0][1] == "/" else stop.start()
             elif name in VOID:
                 if name in ("br", "wbr"):
                     self._say(" " if name == "br" else "")
