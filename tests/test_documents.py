@@ -120,6 +120,13 @@ def test_glossary(spark, text, hits):
     assert sorted(r.term for r in glossary.hits(df, terms).collect()) == hits
 
 
+def test_long_glossaries_go_in_blocks(spark):
+    terms = spark.createDataFrame(glossary.rows_of({f"w{i}": "x" for i in range(30)}), glossary.COLUMNS)
+    df = spark.createDataFrame([(1, "w3 w17x w29"), (2, "W0")], "doc_id int, text string")
+    want = [(1, "w29"), (1, "w3"), (2, "w0")]
+    assert sorted((r.doc_id, r.term) for r in glossary.hits(df, terms, block=7).collect()) == want == sorted((r.doc_id, r.term) for r in glossary.hits(df, terms).collect())
+
+
 def test_glossary_merge_keeps_places(spark):
     got = settings.load_glossary(spark, {"a": "1", "b": "2"}, {"b": {"target": "3"}, "c": "4"}).collect()
     assert [(r.term, r.target) for r in got] == [("a", "1"), ("b", "3"), ("c", "4")]

@@ -33,12 +33,29 @@ def occurs(text: Column, term: Column) -> Column:
     return F.rlike(text, F.concat(F.lit(r"(?i)(?<!\w)\Q"), term, F.lit(r"\E(?!\w)")))
 
 
-def hits(texts: DataFrame, glossary: DataFrame, column: str = "text") -> DataFrame:
-    """Every row of texts with each term that occurs in it: a nested-loop join that broadcasts the glossary.
+BLOCK = 10_000
 
-    A glossary is a hand-written list; over 10 MB Spark's own size estimate decides instead.
+
+def by_blocks(rows: DataFrame, small: DataFrame, on: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """rows joined with a list on a condition that no key expresses: a nested loop over the broadcast list.
+
+    The list's rows are counted first; one over `block` rows goes out in blocks of about that many, each over all of
+    rows, so that no broadcast grows with it.
     """
-    return texts.join(glossary.select("term", "target"), occurs(F.col(column), F.col("term")))
+    n = small.count()
+    if n <= block:
+        return rows.join(F.broadcast(small), on)
+    blocks = -(-n // block) * 2
+    part = F.pmod(F.xxhash64(name), F.lit(blocks))
+    out = rows.join(F.broadcast(small.where(part == 0)), on)
+    for k in range(1, blocks):
+        out = out.unionByName(rows.join(F.broadcast(small.where(part == k)), on))
+    return out
+
+
+def hits(texts: DataFrame, glossary: DataFrame, column: str = "text", block: int = BLOCK) -> DataFrame:
+    """Every row of texts with each term that occurs in it."""
+    return by_blocks(texts, glossary.select("term", "target"), occurs(F.col(column), F.col("term")), "term", block)
 
 
 def hints(texts: DataFrame, glossary: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -51,7 +68,7 @@ def hints(texts: DataFrame, glossary: DataFrame, key: str = "doc_id", column: st
 
 def contained(texts: DataFrame, glossary: DataFrame, column: str = "text") -> DataFrame:
     """Terms that are part of a text in any case, whatever is next to them."""
-    return texts.join(glossary.select("term", "target"), F.contains(F.lower(F.col(column)), F.lower("term")))
+    return by_blocks(texts, glossary.select("term", "target"), F.contains(F.lower(F.col(column)), F.lower("term")), "term")
 
 
 def upsert(glossary: DataFrame, term: str, target: str) -> DataFrame:

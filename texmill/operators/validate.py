@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from texmill.functions.brackets import brace_tokens, unbalanced
 from texmill.functions.text import PLACEHOLDER, line_and_column, snippet, strip
+from texmill.operators.glossary import by_blocks
 
 LEAST_RATIO, MOST_RATIO = 0.2, 1.5
 
@@ -85,10 +86,10 @@ def chunk_brace_findings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 def rule_findings(docs: DataFrame, rules: DataFrame, key: str = "doc_id", column: str = "text", trigger: str | None = None) -> DataFrame:
     """One finding per match of each rule, with its place; rules of another trigger are left out.
 
-    The rule list is hand-written and small; the join is a nested loop over it.
+    The join is a nested loop over the rule list, in blocks if it is long.
     """
     chosen = rules if trigger is None else rules.where(F.col("trigger").isNull() | (F.col("trigger") == trigger))
-    joined = docs.join(chosen, F.rlike(F.col(column), F.col("pattern")))
+    joined = by_blocks(docs, chosen, F.rlike(F.col(column), F.col("pattern")), "id")
     values, gaps = F.regexp_extract_all(F.col(column), F.col("pattern"), F.lit(0)), F.split(F.col(column), F.col("pattern"), -1)
     sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("v")))
     start = F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))")
