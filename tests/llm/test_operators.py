@@ -236,6 +236,8 @@ def test_decontamination(spark, corpus):
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, blocks.select(whole.columns).collect()))
     clean = decontaminate.without_contaminated(docs, benchmark)
     assert clean.columns == docs.columns and not {400, 401, 410} & {r.doc_id for r in clean.collect()}
+    unnamed = decontaminate.contamination(docs, spark.createDataFrame([(None, items[0][1]), (1, items[0][1])], "item_id long, text string")).where("doc_id = 400").first()
+    assert (unnamed.n_hit, unnamed.n_items) == (40, 1)
     nothing = decontaminate.contamination(docs, benchmark.limit(0)).collect()
     assert not any(r.n_hit or r.contaminated for r in nothing) and decontaminate.contamination(docs.limit(0), benchmark).count() == 0
 

@@ -12,7 +12,7 @@ bound however large the benchmark is; a document's results of several blocks are
 are never shuffled otherwise.
 
 Defined results: null or empty text has no words and no hit; items without words have no window; repeated items
-count as each their own item; an empty benchmark leaves every document clean; other columns are ignored.
+count as each their own item, those of a null id hit but are not listed; an empty benchmark leaves every document clean; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ class Windows:
         for item, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
             for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                if item not in (of := self.words[ids[i : i + size]]):
+                of = self.words[ids[i : i + size]]
+                if item is not None and item not in of:
                     of.append(item)
         if len(self.vocabulary) >= 1 << 21:
             raise ValueError("a block of the benchmark holds too many words; lower block_bytes")

@@ -8,7 +8,7 @@ of at most ``train_docs`` labelled documents, ``train_runs`` of each (documented
 unequal numbers of documents.
 
 Defined results: null text and text without a letter is `und` with score 0; equal texts get equal answers; without
-labelled documents all are `und`; texts of any length are read whole; other columns are ignored.
+labelled documents all are `und`; a row of a null id is neither held out nor learnt from; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -240,4 +240,4 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+    return identify(docs, fit(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
