@@ -137,6 +137,16 @@ def test_near_duplicates_in_a_drifting_chain(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_of_few_shingles(spark):
+    """Short documents that lack a word at an end, at the threshold: many such pairs share no band."""
+    rows = []
+    for i in range(400):
+        of = [f"p{i}w{j}" for j in range(8)]
+        rows += [(2 * i, " ".join(of), None, None, None), (2 * i + 1, " ".join(of[:7]), None, None, None)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {k: k - k % 2 for k in got} and len(got) == 800
+
+
 def test_one_of_each_group_and_of_repeated_rows_stays(spark, corpus):
     _, want = classes(corpus)
     docs = table(spark, corpus + corpus[:3], True)

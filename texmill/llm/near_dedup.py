@@ -11,6 +11,8 @@ Four registers side by side are a 64-bit band key, 32 bands in all; documents th
 * Buckets that then still hold several components are finished exactly: their members are joined on the rarest
   shingles of each set, as many as any partner at the threshold must share one of, and pairs of different components
   within the positional bound are confirmed. No bucket is capped and no pair is sampled.
+* Sets of up to SMALL shingles fill few registers, and bands of lent values miss links among them; all of them go
+  through that exact join, whatever bands they share.
 
 Hot buckets meet in plain joins of stored tables (split by adaptive execution) or in aggregates with partial sums.
 
@@ -35,6 +37,8 @@ from texmill.llm.shingles import Words, shingle_set
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
+#: Sets up to this size are joined exactly.
+SMALL = 128
 #: For every register the registers that lend it a value while it is empty, in order of trial.
 _LENDERS = np.random.default_rng(20240229).integers(0, REGISTERS, (48, REGISTERS))
 
@@ -147,7 +151,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     star = members.join(heads, ["band", "key"]).where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     star = keep(_pass_estimate(keep(star, "star"), sets, percent), "candidates")
 
-    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.where("c > 2").select("set_id")).distinct()
+    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.where("c > 2").select("set_id")).union(sets.where(F.col("n") <= SMALL).select("set_id")).distinct()
     shingles = keep(shingle_arrays(docs.join(keep(wanted, "wanted"), "doc_id", "left_semi"), width), "shingles")
     links = keep(_confirm(star, shingles, percent), "links")
     found = connected_components(links)
@@ -175,7 +179,7 @@ def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
 
 
 def _across(members: DataFrame, sets: DataFrame, shingles: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that can reach the threshold, among the members of buckets with several components.
+    """Pairs of different components that can reach the threshold, among small sets and the members of buckets with several components.
 
     Two sets at the threshold share one of their first n - ceil(n * percent / 100) + 1 shingles in any common order. Taken
     from the rarest in this pool on, those are mostly a member's own, which no pair needs.
@@ -183,7 +187,9 @@ def _across(members: DataFrame, sets: DataFrame, shingles: DataFrame, found: Dat
     components = found.withColumnRenamed("id", "set_id")
     named = keep(members.where("c > 2").join(components, "set_id", "left").select("band", "key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "open_members")
     several = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    pool = keep(named.join(keep(several, "several"), ["band", "key"]).select(F.col("set_id").alias("id"), "n", "component").distinct(), "pool")
+    small = sets.where(F.col("n") <= SMALL).join(components, "set_id", "left").select("set_id", "n", F.coalesce("component", "set_id").alias("component"))
+    bucketed = named.join(keep(several, "several"), ["band", "key"]).select("set_id", "n", "component")
+    pool = keep(bucketed.union(small).withColumnRenamed("set_id", "id").distinct(), "pool")
     rows = keep(shingles.join(pool.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("s")), "pool_shingles")
     often = keep(rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "pool_counts")
     ordered = rows.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("shared")).join(pool, "id")
