@@ -1,7 +1,7 @@
 """Secret scanning with DataFrame functions alone: candidates by pattern, false positives removed by a random forest.
 
 Candidates are long runs of key characters with a digit in them, known key formats, and values assigned to words such
-as password. Each candidate becomes numbers: its length, character make-up and transitions, how much of it is
+as password or token (a digit is asked of the long runs alone). Each candidate becomes numbers: its length, character make-up and transitions, how much of it is
 dictionary words, whether it looks like a path, and which words and signs are next to it. A random forest, trained on
 labelled findings, scores them. The findings are made by SQL from a fixed seed (kinds of real keys and of look-alikes,
 ``TRAINING_ROWS`` in all, in several surroundings); the forest is fitted on the driver and goes into the plan as a
@@ -24,27 +24,33 @@ from texmill.llm._common import read
 DEPTH, TREES, TRAINING_ROWS = 6, 15, 3000
 
 # Key formats, words near secrets, words near look-alikes, and words that fill placeholders.
-KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10}|sk-[A-Za-z0-9_-]{20}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|eyJ[A-Za-z0-9_-]{8}|-----BEGIN"
+KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10}|sk-[A-Za-z0-9_-]{20}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}"
+KNOWN = KEYS + r"|eyJ[A-Za-z0-9_-]{8}|-----BEGIN"
 SECRET_WORDS = r"token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential|client[_ -]?key"
 LOOKALIKE_WORDS = r"sha-?\d*|commit|hash|md5|checksum|digest|revision|uuid|guid|card|iban|isbn|phone|order|invoice|version|build|etag|image|img|src|href|path|file|url|page|id"
 PLACEHOLDERS = r"example|sample|placeholder|dummy|changeme|change_me|your|insert|redacted|null|none|default|test|token|secret|password|value|user|name|public|file|data|index|section|chapter|version|release|page|image|static|assets|node|modules|component|config|local|server|client"
 
 #: What leads to an assigned value; it is taken off the candidate again.
+LEAD = rf"(?i:{SECRET_WORDS})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?"
 ASSIGNED = r"(?i:passwd|password|pwd|secret|passphrase)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
 
+_PEM = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+)?"
+
+#: Values in quotes end at the quote; others, but for passwords, with the key characters. Key blocks and web tokens are left to their own patterns.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
-    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+)?"
-    rf"|{ASSIGNED}[^\s\"'<>]{{8,}}+"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+    rf"{_PEM}[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{{0,24}}PRIVATE KEY-----)?"
+    rf"|(?<![A-Za-z0-9_-]){_TOKEN}"
+    rf"|{ASSIGNED}(?!{_PEM})[^\s\"'<>]{{8,}}+"
+    rf"|(?i:{SECRET_WORDS})[\"']?\s{{0,2}}[:=]\s{{0,2}}(?:[\"'](?!{_PEM})[^\s\"'<>]{{8,}}+|(?!{_PEM}|{_TOKEN})[A-Za-z0-9+/_=-]{{8,}}+)"
+    rf"|(?<![A-Za-z0-9])(?:{KEYS})[A-Za-z0-9+/_=-]*+"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 )
 
 
 def _may_hold_one(text: Column) -> Column:
-    """A cheap necessary condition of a candidate: most texts end here."""
-    low = F.lower(text)
-    words = [F.contains(low, F.lit(w)) for w in ("passw", "pwd", "secret", "passphrase", "private key", "eyj")]
-    return reduce(lambda a, b: a | b, words, text.rlike("[0-9]")) & text.rlike("(?d)" + CANDIDATE)
+    """Whether there is a candidate: most texts end here."""
+    return text.rlike("(?d)" + CANDIDATE)
 
 
 def findings(text: Column | str) -> Column:
@@ -59,7 +65,7 @@ def findings(text: Column | str) -> Column:
 
     def step(s: Column, p: Column) -> Column:
         first = s["at"] + F.length(p["gap"])
-        lead = F.regexp_extract(p["value"], f"^{ASSIGNED}", 0)
+        lead = F.regexp_extract(p["value"], f"^{LEAD}", 0)
         value = F.substr(p["value"], F.length(lead) + 1)
         one = F.struct(value.alias("value"), F.right(F.concat(p["gap"], lead), F.lit(40)).alias("before"), F.left(p["next"], F.lit(16)).alias("after"), (first + F.length(lead)).alias("first"))
         return F.struct(F.concat(s["found"], F.array(one)).alias("found"), (first + F.length(p["value"])).alias("at"))
