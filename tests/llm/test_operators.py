@@ -252,6 +252,19 @@ def test_decontamination(spark, corpus):
     assert not any(r.n_hit or r.contaminated for r in nothing) and decontaminate.contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    items = [(i, words(rng, 30, 900)) for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, items[0][1]), (None, items[1][1]), (None, "clean text"), (None, None), (1, items[2][1]), (1, items[2][1]), (1, "clean of id 1")]
+    docs = table(spark, [(*r, None, None, None) for r in rows])
+    whole, blocks = decontaminate.find_hits(docs, benchmark), decontaminate.find_hits(docs, benchmark, block_bytes=300)
+    assert whole.count() == len(rows) and whole.columns == blocks.columns
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, blocks.collect()))
+    left = decontaminate.without_contaminated(docs, benchmark).collect()
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in left) == sorted((repr(a), repr(b)) for a, b in (rows[2], rows[3], rows[6]))
+
+
 def test_network_gradients():
     n = language_id.Network(["a", "b", "c"], 3)
     n.p = {k: v.astype(np.float64) for k, v in n.p.items()}

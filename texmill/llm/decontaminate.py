@@ -8,11 +8,13 @@ be long enough (length bound), and then all words are compared (exact containmen
 the same place as the window before them extend the same hit.
 
 The benchmark goes to the workers in blocks of at most ``block_bytes`` of text, so what is broadcast has a fixed
-bound however large the benchmark is; a document's results of several blocks are then merged by its id. Documents
-are never shuffled otherwise.
+bound however large the benchmark is. With several blocks the rows are stored once with a number each, by which
+their results are merged. Documents are never shuffled otherwise.
 
 Defined results: null or empty text has no words and no hit; items without words have no window; repeated items
-count as each their own item, those of a null id hit but are not listed; an empty benchmark leaves every document clean; other columns are ignored.
+count as each their own item, those of a null id hit but are not listed; an empty benchmark leaves every document
+clean; every row has its own result, rows of null or repeated ids too, and is kept or dropped by its own text; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,7 +190,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
     blocks = -(-total // block_bytes) or 1
     block = F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(blocks))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", block.alias("block"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+    docs = docs.withColumn("row", F.lit(0).cast("long")) if blocks == 1 else keep(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    schema = f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
     parts = []
     for k in range(blocks):
         windows = Windows([(r.item_id, r.text) for r in items.where(F.col("block") == k).toLocalIterator()], size)
@@ -206,15 +209,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
                         spans.append([{"first": a, "last": b} for a, b in hit])
                         found.append(sorted(of))
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "spans", "items"])
 
         parts.append(docs.transform(map_batches, match, schema))
     if blocks == 1:
-        return parts[0]
+        return parts[0].drop("row")
     out = keep(parts[0], "hits")
     for part in parts[1:]:
         out = out.union(keep(part, "hits"))
-    whole = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.expr(
         "aggregate(s, cast(array() as array<struct<first:long,last:long>>), (acc, x) -> CASE WHEN size(acc) > 0 AND x.first <= element_at(acc, -1).last"
         " THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, x.last)))) ELSE concat(acc, array(x)) END)"
@@ -231,8 +234,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20) -> DataFrame:
     """The documents that are not contaminated."""
-    gone = keep(contamination(docs, benchmark, size, one_in).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    texts = docs.select(F.md5("text").alias("doc_id"), "text")  # ids can be null or repeated, and the text alone decides
+    gone = keep(contamination(texts, benchmark, size, one_in).where("contaminated").select(F.col("doc_id").alias("_digest")).distinct(), "contaminated")
+    return docs.join(gone, F.md5(docs["text"]) == gone["_digest"], "left_anti").select(docs.columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
