@@ -40,3 +40,11 @@ def test_entry_module():
 
     assert set(catalogue.queries()) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_brace_counts_of_all_documents(spark, engine):
+    """The SQL of brace_counts without its filter."""
+    sql = catalogue.oracle_sql()["brace_counts"].removesuffix(" WHERE doc_id % 7 > 2")
+    df, other = catalogue.queries()["brace_counts_all"](spark, DATA), engine.sql(sql)
+    got = rows(df.columns, df.collect())
+    assert got == rows(list(other.columns), other.fetchall()) and any(closes != opens for closes, _, opens in got)

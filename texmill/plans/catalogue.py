@@ -237,6 +237,13 @@ def brace_counts(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count_if(F.col("bracket") == "{").alias("opens"), F.count_if(F.col("bracket") == "}").alias("closes"))
 
 
+@query()
+def brace_counts_all(spark, sf_dir):
+    """Openers and closers that count, on every document."""
+    found = brackets.brackets(_tex(spark, sf_dir), column="tex")
+    return found.groupBy("doc_id").agg(F.count_if(F.col("bracket") == "{").alias("opens"), F.count_if(F.col("bracket") == "}").alias("closes"))
+
+
 @query(f"""WITH t AS (SELECT doc_id, concat('{{a', repeat('{{b}}', CAST(doc_id % 4 AS INTEGER)), CASE WHEN doc_id % 3 = 0 THEN '}}}}' WHEN doc_id % 3 = 1 THEN '' ELSE ']' END) AS x FROM documents),
   k AS (SELECT doc_id, unnest(range(1, length(x) + 1)) AS i, x FROM t), b AS (SELECT doc_id, i - 1 AS pos, substring(x, CAST(i AS INTEGER), 1) AS c FROM k WHERE substring(x, CAST(i AS INTEGER), 1) IN ('{{', '}}', '[', ']'))
   SELECT doc_id, CAST(pos AS BIGINT) AS pos, c AS bracket, CASE WHEN doc_id % 3 = 0 THEN 'unmatched closer' WHEN doc_id % 3 = 1 THEN 'unmatched opener' ELSE 'mismatched' END AS problem FROM b
