@@ -1,9 +1,14 @@
 """Every query that has SQL gives the same rows as another engine on the same tables."""
 
+import collections
+import hashlib
+import re
+
 import duckdb
 import pytest
 
 from texmill.plans import catalogue
+from texmill.plans import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents conversations pages labels events benchmark".split()
@@ -48,3 +53,48 @@ def test_brace_counts_of_all_documents(spark, engine):
     df, other = catalogue.queries()["brace_counts_all"](spark, DATA), engine.sql(sql)
     got = rows(df.columns, df.collect())
     assert got == rows(list(other.columns), other.fetchall()) and any(closes != opens for closes, _, opens in got)
+
+
+def digest(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """The tables with texts that the SQL of some queries can't follow."""
+    at, c = tmp_path_factory.mktemp("odd"), duckdb.connect()
+    texts = ["a % b & c # d", "x \\% y \\& z % w \\\\ #", "See one\nand See two $a_1$ and $$b$$", "[[MATH_1]] & [[a % b]] # [ %", "cost $5 \\cite{k} and $ % gone $", ""]
+    c.execute("create table d as select * from (values " + ",".join(["(?::bigint, ?, 'en', 's')"] * len(texts)) + ") t(doc_id, text, lang, source)", [v for i, t in enumerate(texts) for v in (i, t)])
+    turns = [(0, 0, "plain"), (0, 1, "see [x] here"), (1, 0, "it says [1] twice"), (1, 1, "b"), (2, 0, "[ open"), (3, 0, "[y]"), (4, 1, "[7] far")]
+    c.execute("create table v as select * from (values " + ",".join(["(?::bigint, ?::int, ?)"] * len(turns)) + ") t(conv_id, turn, text)", [v for t in turns for v in t])
+    c.sql(f"copy d to '{at}/documents.parquet'")
+    c.sql(f"copy v to '{at}/conversations.parquet'")
+    c.sql("create view documents as select * from d")
+    return str(at), texts, turns, c.sql(fx.TEX).fetchall()
+
+
+def test_escapes_and_places_of_all_texts(spark, odd):
+    at, texts, _, tex = odd
+    want = ["a \\% b \\& c \\# d", "x \\% y \\& z \\% w \\\\ \\#", texts[2], "[[MATH_1]] \\& [[a % b]] \\# [ \\%", "cost $5 \\cite{k} and $ \\% gone $", ""]
+    assert sorted(map(tuple, catalogue.queries()["escape_specials_all"](spark, at).collect())) == [(i, digest(t)) for i, t in enumerate(want)]
+    places = [(i, t[: t.index("See ")].count("\n") + 1, len(t[: t.index("See ")].split("\n")[-1]) + 1) for i, t in tex]
+    assert sorted(map(tuple, catalogue.queries()["line_and_column_all"](spark, at).collect())) == sorted(places)
+
+
+def test_replies_of_all_turns(spark, odd):
+    at, _, turns, _ = odd
+    per, want = collections.defaultdict(list), []
+    for c, t, text in turns:
+        per[c].append((t, text))
+    for c, of in per.items():
+        reply = "\n".join(f"[{i}] {text}" for i, (_, text) in enumerate(of, 1)) + ("\n[99] more" if c % 4 == 3 else "")
+        if [int(n) for n in re.findall(r"\[(\d+)\]", reply)] == list(range(1, len(of) + 1)):
+            want += [(c, t, digest(text.strip())) for t, text in of]
+    assert sorted(map(tuple, catalogue.queries()["batch_reply_parse_all"](spark, at).collect())) == want and len(want) == 3
+
+
+def test_stored_placeholders_of_all_documents(spark, odd):
+    got = {(int(r.doc_id), r.kind): r.n for r in catalogue.queries()["stored_placeholders_all"](spark, odd[0]).collect()}
+    assert [got.get((0, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [1, 1, 1, 1]
+    assert [got.get((2, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [3, 1, 1, 1]
+    assert [got.get((4, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [2, 1, 1, 1]  # the cite of the text is inside the math

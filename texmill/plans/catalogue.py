@@ -190,6 +190,12 @@ def escape_specials(spark, sf_dir):
     return docs.select("doc_id", F.md5(fn.escape_specials(F.col("text"))).alias("digest"))
 
 
+@query()
+def escape_specials_all(spark, sf_dir):
+    """escape_specials of every text, with backslashes or without."""
+    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(fn.escape_specials(F.col("text"))).alias("digest"))
+
+
 @query(f"WITH t AS ({fx.TEX}) SELECT doc_id, md5(replace(replace(tex, chr(10) || chr(10), '[[PL]]'), chr(10), '[[SL]]')) AS encoded, true AS returns FROM t")
 def line_end_codec(spark, sf_dir):
     coded = fn.encode_line_ends(F.col("tex"))
@@ -226,6 +232,13 @@ def line_and_column(spark, sf_dir):
     return _tex(spark, sf_dir).where(F.instr(F.replace("tex", F.lit("\nSee "), F.lit("")), "See ") == 0).select("doc_id", place.alias("p")).select("doc_id", "p.*")
 
 
+@query()
+def line_and_column_all(spark, sf_dir):
+    """Place of the first 'See ' of every document."""
+    place = fn.line_and_column(F.col("tex"), (F.instr("tex", "See ") - 1).cast("int"))
+    return _tex(spark, sf_dir).select("doc_id", place.alias("p")).select("doc_id", "p.*")
+
+
 # Brackets
 
 
@@ -323,6 +336,15 @@ def batch_reply_parse(spark, sf_dir):
     return parsed.select("conv_id", F.explode(F.arrays_zip(F.col("x.turn").alias("turn"), "said")).alias("z")).select("conv_id", "z.turn", F.md5(F.trim("z.said")).alias("digest"))
 
 
+@query()
+def batch_reply_parse_all(spark, sf_dir):
+    """batch_reply_parse of every turn, with brackets or without."""
+    per = _table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    reply = F.concat(batching.numbered(F.col("x.text")), F.when(F.col("conv_id") % 4 == 3, "\n[99] more").otherwise(""))
+    parsed = per.select("conv_id", "x", batching.parse_reply(reply, F.size("x")).alias("said")).where("size(said) > 0")
+    return parsed.select("conv_id", F.explode(F.arrays_zip(F.col("x.turn").alias("turn"), "said")).alias("z")).select("conv_id", "z.turn", F.md5(F.trim("z.said")).alias("digest"))
+
+
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL")
 def resume_anti_join(spark, sf_dir):
     return batching.pending(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
@@ -637,6 +659,15 @@ def stored_placeholders(spark, sf_dir):
     return held.where(F.col("p").rlike("CITE|REF|LABEL")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query()
+def stored_placeholders_all(spark, sf_dir):
+    """Placeholders of all kinds that stored parser states list, of every document."""
+    from texmill.sources.state import SCHEMA, parser_state
+
+    held = parser_state(parse.parse(_tex(spark, sf_dir))).select("doc_id", F.explode(F.from_json("state", SCHEMA)["all_valid_placeholders"]).alias("p"))
+    return held.groupBy("doc_id", F.regexp_extract("p", r"\[\[([A-Z_]+)_", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query()
 def parsed_documents(spark, sf_dir):
     return parse.parse(_tex(spark, sf_dir))
