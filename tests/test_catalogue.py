@@ -98,3 +98,61 @@ def test_stored_placeholders_of_all_documents(spark, odd):
     assert [got.get((0, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [1, 1, 1, 1]
     assert [got.get((2, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [3, 1, 1, 1]
     assert [got.get((4, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [2, 1, 1, 1]  # the cite of the text is inside the math
+
+
+def bracket_walk(text):
+    """(pos, bracket) of those that count: a backslash hides a brace or backslash after it, or goes with a command."""
+    at = 0
+    while at < len(text):
+        if text[at] == "\\":
+            at += 1
+            if at < len(text) and text[at] in "{}\\":
+                at += 1
+            continue
+        if text[at] in "{}[]":
+            yield at, text[at]
+        at += 1
+
+
+def test_brackets_of_whole_documents(spark, engine):
+    pairs, wrong = [], []
+    for doc, text in engine.sql(fx.TEX).fetchall():
+        stack = []
+        for pos, c in bracket_walk(text):
+            if c in "{[":
+                stack.append((pos, c))
+            elif not stack:
+                wrong.append((doc, pos, c, "unmatched closer"))
+            else:
+                at, opener = stack.pop()
+                pairs.append((doc, at, pos))
+                if opener + c not in ("{}", "[]"):
+                    wrong.append((doc, pos, c, "mismatched"))
+        wrong += [(doc, *x, "unmatched opener") for x in stack]
+    assert sorted(map(tuple, catalogue.queries()["brace_match_pairs_all"](spark, DATA).collect())) == sorted(pairs)
+    assert sorted(map(tuple, catalogue.queries()["brace_balance_all"](spark, DATA).collect())) == sorted(wrong)
+    assert {x[3] for x in wrong} == {"unmatched closer", "unmatched opener"}
+
+
+def test_brace_structure_of_whole_pairs(spark, engine):
+    def tokens(text):
+        out, at = [], 0
+        for pos, c in [*((p, c) for p, c in bracket_walk(text) if c in "{}"), (len(text), "<EOF>")]:
+            if pos > at:
+                out.append(("T", at))
+            out.append((c, pos))
+            at = pos + 1
+        return out
+
+    want = []
+    for doc, a, b in engine.sql(fx.PAIRS).fetchall():
+        for i, (x, y) in enumerate(zip(tokens(a), tokens(b))):
+            if x[0] != y[0]:
+                want.append((doc, i, x[0], y[0], x[1], y[1]))
+                break
+    assert sorted(map(tuple, catalogue.queries()["brace_structure_mismatch_all"](spark, DATA).collect())) == sorted(want) and want
+
+
+def test_inline_math_of_whole_documents(spark, odd):
+    got = {int(r.doc_id): r.n for r in catalogue.queries()["inline_math_spans_all"](spark, odd[0]).collect()}
+    assert got == {0: 1, 1: 1, 2: 3, 3: 1, 4: 2, 5: 1}

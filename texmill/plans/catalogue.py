@@ -290,6 +290,26 @@ def brace_match_pairs(spark, sf_dir):
     return found.where("close is not null").select("doc_id", "pos", F.col("close").cast("long").alias("close"))
 
 
+@query()
+def brace_balance_all(spark, sf_dir):
+    """Brackets in error of every document."""
+    return brackets.unbalanced(_tex(spark, sf_dir), column="tex")
+
+
+@query()
+def brace_match_pairs_all(spark, sf_dir):
+    """Openers with their closers of every document."""
+    found = brackets.matched(brackets.brackets(_tex(spark, sf_dir), column="tex"), F.col("bracket").isin("{", "["), ["doc_id"])
+    return found.where("close is not null").select("doc_id", "pos", F.col("close").cast("long").alias("close"))
+
+
+@query()
+def brace_structure_mismatch_all(spark, sf_dir):
+    """The first difference in brace structure of every pair of texts."""
+    pairs = fx.made(spark, sf_dir, fx.PAIRS)
+    return pairs.select("doc_id", validate.first_brace_mismatch(F.col("original"), F.col("translated")).alias("m")).where("m is not null").select("doc_id", "m.*")
+
+
 # Chunks, routing and batches
 
 
@@ -384,6 +404,13 @@ def inline_math_spans(spark, sf_dir):
     return docs.select("doc_id", F.size(spans).cast("long").alias("n"))
 
 
+@query()
+def inline_math_spans_all(spark, sf_dir):
+    """Dollar math that the parser takes out of every document."""
+    rows = parse.parse(_tex(spark, sf_dir)).where("kind = 'placeholder' and context = 'MATH'")
+    return rows.where(F.startswith("content", F.lit("$"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 # Glossary
 
 
