@@ -11,14 +11,16 @@ Four registers side by side are a 64-bit band key, 32 bands in all; documents th
 * Buckets that then still hold several components are finished exactly: their members are joined on the rarest
   shingles of each set, as many as any partner at the threshold must share one of, and pairs of different components
   within the positional bound are confirmed. No bucket is capped and no pair is sampled.
-* Sets of up to SMALL shingles fill few registers, and bands of lent values miss links among them; all of them go
-  through that exact join, whatever bands they share.
+* Sets of up to SMALL shingles would leave registers empty, and bands of lent values miss links among them. Each of
+  their registers has a hash function of its own instead. Sets near SMALL carry both kinds of bands, so any two sets
+  whose sizes allow a link have 32 bands of one kind in common.
 
 Hot buckets meet in plain joins of stored tables (split by adaptive execution) or in aggregates with partial sums.
 
 Defined results: null, empty and blank texts have an empty set, size 0, and are linked with nothing; fewer than five
 words make one shingle; rows of a null doc_id are linked with nothing and kept; repeated rows have the same result
-each, and without_duplicates() leaves one of them; other columns are ignored.
+each, and without_duplicates() leaves one of them; different texts under one id are one document with the links of
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +33,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texmill.llm._common import keep, map_batches, per_batch, read
+from texmill.llm._common import Workspace, keep, map_batches, per_batch, read
 from texmill.llm.components import connected_components
-from texmill.llm.shingles import Words, shingle_set
+from texmill.llm.shingles import Words, mix, shingle_set
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
-#: Sets up to this size are joined exactly.
+#: Sets up to this size have registers with a hash function each.
 SMALL = 128
+_FUNCTIONS = np.random.default_rng(271_828).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: For every register the registers that lend it a value while it is empty, in order of trial.
 _LENDERS = np.random.default_rng(20240229).integers(0, REGISTERS, (48, REGISTERS))
 
 
+def _compressed(rest: np.ndarray) -> np.ndarray:
+    """Leading zeros of 53-bit numbers << 10 | next 10 bits."""
+    fraction, bits = np.frexp(rest.astype(np.float64))
+    return ((53 - bits) << MANTISSA | np.where(rest > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)).astype(np.uint16)
+
+
+def registers_of_few(sets: list[np.ndarray]) -> np.ndarray:
+    """Compressed registers of non-empty small sets: each register holds the smallest value of a function of its own."""
+    values, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+    out = np.empty((len(sets), REGISTERS), np.uint16)
+    for i, by in enumerate(_FUNCTIONS):
+        out[:, i] = _compressed(np.minimum.reduceat(mix(values * by), starts) >> np.uint64(11))
+    return out
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """Compressed registers of non-empty sorted sets: leading zeros << 10 | next 10 bits, as unsigned 16-bit."""
     starts = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(57)
@@ -52,9 +70,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         at = np.searchsorted(s, starts)
         found = s[np.minimum(at, len(s) - 1)]
         low[i], there[i] = found, (at < len(s)) & ((found >> np.uint64(57)) == np.arange(REGISTERS, dtype=np.uint64))
-    rest = ((low & np.uint64((1 << 57) - 1)) >> np.uint64(4)).astype(np.float64)
-    fraction, bits = np.frexp(rest)
-    out = ((53 - bits) << MANTISSA | np.where(rest > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)).astype(np.uint16)
+    out = _compressed((low & np.uint64((1 << 57) - 1)) >> np.uint64(4))
     for lender in _LENDERS:
         if there.all():
             break
@@ -67,24 +83,31 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set as two numbers, bands (32 keys; null for an empty set)."""
+def bands_of(sets: list[np.ndarray], percent: int) -> list[tuple[int | None, list[int] | None]]:
+    """Per set the number of its first band and its band keys: 0 to 31 of the large kind, 32 to 63 of the small one."""
+    large = [s for s in sets if 100 * len(s) > percent * SMALL]
+    few = [s for s in sets if 0 < len(s) <= SMALL]
+    a, b = (iter(of(x).view("<i8").reshape(-1, BANDS).tolist() if x else ()) for of, x in ((registers, large), (registers_of_few, few)))
+    out = []
+    for s in sets:
+        keys = (next(a) if 100 * len(s) > percent * SMALL else []) + (next(b) if 0 < len(s) <= SMALL else [])
+        out.append((BANDS * (100 * len(s) <= percent * SMALL), keys) if len(s) else (None, None))
+    return out
+
+
+def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n (set size), digest of the set as two numbers, first (band), bands (keys; null for an empty set)."""
     words = None
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         nonlocal words
         words = words if words is not None else Words()
         sets = [shingle_set(t, words, width) for t in batch.column(1).to_pylist()]
-        full = [s for s in sets if len(s)]
-        keys = registers(full).view("<i8").reshape(-1).tolist() if full else []
         digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
-        bands, at = [], 0
-        for s in sets:
-            bands.append(keys[at : at + BANDS] if len(s) else None)
-            at += BANDS if len(s) else 0
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "d0", "d1", "bands"])
+        first, bands = zip(*bands_of(sets, percent), strict=True) if sets else ((), ())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(first, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "d0", "d1", "first", "bands"])
 
-    return docs.select("doc_id", "text").transform(map_batches, per_batch(sketch), "doc_id long, n long, d0 long, d1 long, bands array<long>")
+    return docs.select("doc_id", "text").transform(map_batches, per_batch(sketch), "doc_id long, n long, d0 long, d1 long, first int, bands array<long>")
 
 
 def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
@@ -110,7 +133,7 @@ def _equal_registers(a: str, b: str) -> Column:
 
 
 def estimate(a: str, b: str, na: str, nb: str) -> Column:
-    """Jaccard estimate from agreeing registers, corrected for chance agreement of different minima.
+    """Jaccard estimate from agreeing registers of the large kind, corrected for chance agreement of different minima.
 
     Two different minima share their leading zeros and mantissa with a chance of about 0.17 * 4r / (1 + r)^2 / 2^10
     for a size ratio of r.
@@ -133,17 +156,18 @@ def _confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     a, b = (shingles.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return pairs.join(b, "b").join(a, "a").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    return pairs.join(b, "b").join(a, "a").where(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, of every document."""
-    docs = docs.select("doc_id", "text")
-    sketched = keep(sketches(docs, width), "sketches")
+    docs, work = docs.select("doc_id", "text"), Workspace(docs.sparkSession, "near_dedup")
+    keep = work.keep
+    sketched = keep(sketches(docs, width, percent), "sketches")
     classes = keep(sketched.where("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("set_id")), "classes")
-    sets = keep(sketched.join(classes.select(F.col("set_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("set_id"), "n", "bands").dropDuplicates(["set_id"]), "sets")
+    sets = keep(sketched.join(classes.withColumnRenamed("set_id", "doc_id"), ["doc_id", "d0", "d1"]).dropDuplicates(["doc_id", "d0", "d1"]).select(F.col("doc_id").alias("set_id"), "n", "first", "bands"), "sets")
 
-    banded = sets.select("set_id", "n", F.posexplode("bands").alias("band", "key"))
+    banded = sets.select("set_id", "n", "first", F.posexplode("bands").alias("place", "key")).select("set_id", "n", (F.col("first") + F.col("place")).alias("band"), "key")
     shared = keep(banded.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     members = keep(banded.join(shared, ["band", "key"]), "members")
     central = members.groupBy("set_id").agg(F.sum("c").alias("weight"))
@@ -151,20 +175,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     star = members.join(heads, ["band", "key"]).where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     star = keep(_pass_estimate(keep(star, "star"), sets, percent), "candidates")
 
-    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.where("c > 2").select("set_id")).union(sets.where(F.col("n") <= SMALL).select("set_id")).distinct()
+    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.where("c > 2").select("set_id")).distinct()
     shingles = keep(shingle_arrays(docs.join(keep(wanted, "wanted"), "doc_id", "left_semi"), width), "shingles")
     links = keep(_confirm(star, shingles, percent), "links")
-    found = connected_components(links)
+    found = connected_components(links, work)
 
-    rest = _across(members, sets, shingles, found, percent)
+    rest = _across(work, members, sets, shingles, found, percent)
     more = keep(_confirm(rest, shingles, percent), "more_links")
     if not more.isEmpty():
-        found = connected_components(links.union(more))
+        found = connected_components(links.union(more), work)
 
     named = sketched.select("doc_id", "n", "d0", "d1").join(classes, ["d0", "d1"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     named = keep(named, "named").join(found.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     component = F.coalesce("component", "set_id", "doc_id")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return work.finish(out, "near_duplicates")
 
 
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -178,18 +203,17 @@ def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     return rest.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
-def _across(members: DataFrame, sets: DataFrame, shingles: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that can reach the threshold, among small sets and the members of buckets with several components.
+def _across(work: Workspace, members: DataFrame, sets: DataFrame, shingles: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can reach the threshold, among the members of buckets with several components.
 
     Two sets at the threshold share one of their first n - ceil(n * percent / 100) + 1 shingles in any common order. Taken
     from the rarest in this pool on, those are mostly a member's own, which no pair needs.
     """
+    keep = work.keep
     components = found.withColumnRenamed("id", "set_id")
     named = keep(members.where("c > 2").join(components, "set_id", "left").select("band", "key", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "open_members")
     several = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    small = sets.where(F.col("n") <= SMALL).join(components, "set_id", "left").select("set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    bucketed = named.join(keep(several, "several"), ["band", "key"]).select("set_id", "n", "component")
-    pool = keep(bucketed.union(small).withColumnRenamed("set_id", "id").distinct(), "pool")
+    pool = keep(named.join(keep(several, "several"), ["band", "key"]).select(F.col("set_id").alias("id"), "n", "component").distinct(), "pool")
     rows = keep(shingles.join(pool.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("s")), "pool_shingles")
     often = keep(rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "pool_counts")
     ordered = rows.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("shared")).join(pool, "id")
