@@ -7,9 +7,10 @@ alone; the shingle's place must leave room for the window before and after it (p
 be long enough (length bound), and then all words are compared (exact containment). Windows that join a document at
 the same place as the window before them extend the same hit.
 
-The benchmark goes to the workers in blocks of at most ``block_bytes`` of text, so what is broadcast has a fixed
-bound however large the benchmark is. With several blocks the rows are stored once with a number each, by which
-their results are merged. Documents are never shuffled otherwise.
+The benchmark goes to the workers in blocks of some ``block_bytes`` of text, so what is broadcast has a fixed bound
+however large the benchmark is. Long items are split into stretches of ``STRETCH`` windows, which go to any blocks. With
+several blocks the rows are stored once with a number each, by which their results are merged. Documents are never
+shuffled otherwise.
 
 Defined results: null or empty text has no words and no hit; items without words have no window; repeated items
 count as each their own item, those of a null id hit but are not listed; an empty benchmark leaves every document
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texmill.llm._common import keep, map_batches, read
+from texmill.llm.shingles import mix
 
 #: Bytes to words: A-Z lower-cased, all other ASCII but 0-9 and a-z a blank; bytes over 0x7F belong to words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -38,27 +40,33 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
+STRETCH = 4096
+_MULTIPLIERS = np.random.default_rng(1_729).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 class Windows:
     """The windows of some items, with what a document is matched against."""
 
     def __init__(self, items: list[tuple[object, str | None]], size: int, gram: int = 3):
         self.size, self.gram = size, gram
         self.vocabulary: dict[bytes, int] = {}
-        self.words: dict[tuple[int, ...], list[object]] = defaultdict(list)
+        self.words: dict[tuple[int, ...], set[object]] = {}
+        self.shingles: dict[tuple[int, ...], np.ndarray] = {}
         for item, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                of = self.words[ids[i : i + size]]
-                if item is not None and item not in of:
-                    of.append(item)
-        if len(self.vocabulary) >= 1 << 21:
-            raise ValueError("a block of the benchmark holds too many words; lower block_bytes")
+            n = min(size, len(ids))
+            g = min(gram, n)
+            at = self.shingles_at(np.array(ids, np.int64), g) if ids else None
+            for i in range(len(ids) - n + 1 if ids else 0):
+                window = ids[i : i + n]
+                of = self.words.get(window)
+                if of is None:
+                    of = self.words[window] = set()
+                    self.shingles[window] = at[i : i + n - g + 1]
+                if item is not None:
+                    of.add(item)
         self.rarest: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
 
-    def shingle_numbers(self, window: tuple[int, ...]) -> list[int]:
-        g = min(self.gram, len(window))
-        return [sum(w << (21 * k) for k, w in enumerate(window[i : i + g])) for i in range(len(window) - g + 1)]
-
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as numbers (0: in no item), each text followed by a 0; where each text begins."""
         words, starts = [], [0]
@@ -73,10 +81,11 @@ class Windows:
         n = len(ids) - g + 1
         if n <= 0:
             return np.empty(0, np.int64)
-        out, known = ids[:n].copy(), ids[:n] > 0
-        for k in range(1, g):
-            out |= ids[k : k + n] << (21 * k)
+        out, known = np.full(n, g, np.uint64), np.ones(n, bool)
+        for k in range(g):
+            out += mix(ids[k : k + n].astype(np.uint64) * _MULTIPLIERS[k])
             known &= ids[k : k + n] > 0
+        out = (mix(out) | np.uint64(1)).view(np.int64)  # words are compared in the end, so two shingles may share a number
         out[~known] = 0
         return out
 
@@ -85,10 +94,10 @@ class Windows:
 
     def order(self, frequency: dict[int, int]) -> None:
         """Choose each window's rarest shingle, by corpus counts, ties to the earlier place."""
-        for window in self.words:
-            numbers = self.shingle_numbers(window)
-            at = min(range(len(numbers)), key=lambda i: (frequency.get(numbers[i], 0), i))
-            self.rarest.setdefault(numbers[at], []).append((at, window))
+        for window, numbers in self.shingles.items():
+            at, number = min(enumerate(numbers.tolist()), key=lambda x: (frequency.get(x[1], 0), x[0]))
+            self.rarest.setdefault(number, []).append((at, window))
+        self.shingles = {}
 
     def places(self, ids: np.ndarray, keys: Keys) -> Iterator[tuple[int, int]]:
         """(place, shingle) of every occurrence of a key."""
@@ -169,7 +178,7 @@ def _count_shingles(docs: DataFrame, windows) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
-        keys = Keys({n for x in w.words for n in w.shingle_numbers(x)})
+        keys = Keys(np.unique(np.concatenate([*w.shingles.values(), np.empty(0, np.int64)])).tolist())
         seen: Counter[int] = Counter()
         for batch in batches:
             for texts in groups_of(batch, 0):
@@ -182,14 +191,24 @@ def _count_shingles(docs: DataFrame, windows) -> dict[int, int]:
     return {r.shingle: r.n for r in docs.select("text").transform(map_batches, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
+def stretches(benchmark: DataFrame, size: int) -> DataFrame:
+    """item_id (as a string), text of at most STRETCH windows: together they have the windows of the items."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), words.alias("words"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size("words") - (size - 1), F.lit(1)), F.lit(STRETCH))
+    return items.select("item_id", "words", F.explode(firsts).alias("first")).select("item_id", F.array_join(F.slice("words", F.col("first"), F.lit(STRETCH + size - 1)), " ").alias("text"))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, n_words, spans (word places covered by windows), items (ids as strings, sorted) of every document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = stretches(benchmark, size)
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    block = F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(blocks))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", block.alias("block"))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    items = items if blocks == 1 else keep(items, "stretches")
     docs = docs.withColumn("row", F.lit(0).cast("long")) if blocks == 1 else keep(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
     schema = f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
     parts = []
