@@ -1,14 +1,16 @@
 """Secret scanning with DataFrame functions alone: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit in them, known key formats, and values assigned to words such
-as password or token (a digit is asked of the long runs alone). Each candidate becomes numbers: its length, character make-up and transitions, how much of it is
-dictionary words, whether it looks like a path, and which words and signs are next to it. A random forest, trained on
-labelled findings, scores them. The findings are made by SQL from a fixed seed (kinds of real keys and of look-alikes,
-``TRAINING_ROWS`` in all, in several surroundings); the forest is fitted on the driver and goes into the plan as a
-literal, which is walked with higher-order functions. Scanning is row by row: no shuffle, no broadcast, no Python.
+Candidates are key blocks, web tokens, known key formats, values assigned to words such as password or token, and other
+long runs of key characters with a digit in them. Each candidate becomes numbers: its length, character make-up and
+transitions, how much of it is dictionary words, whether it looks like a path, and which words and signs are next to
+it. A random forest, trained on labelled findings, scores them. The findings are made by SQL from a fixed seed (kinds
+of real keys and of look-alikes, ``TRAINING_ROWS`` in all, in several surroundings); the forest is fitted on the
+driver and goes into the plan as a literal, which is walked with higher-order functions. Scanning is row by row: no
+shuffle, no broadcast, no Python. Its cost grows with the text and the number of candidates, not with their product.
 
 Defined results: null and empty texts have no findings; equal candidates in one text are separate findings; texts of
-any length are scanned whole; offsets are in code points; other columns pass through untouched.
+any length are scanned whole; offsets are in code points; repeated rows, and rows of null or repeated ids, have their
+own findings each; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -21,17 +23,29 @@ from pyspark.sql import functions as F
 
 from texmill.llm._common import read
 
-DEPTH, TREES, TRAINING_ROWS = 6, 15, 3000
+DEPTH, TREES, TRAINING_ROWS = 7, 15, 5000
 
-# Key formats, words near secrets, words near look-alikes, and words that fill placeholders.
-KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10}|sk-[A-Za-z0-9_-]{20}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}"
+# Key formats, words near secrets, words near look-alikes, words that make up ordinary names, and common pairs of letters.
+KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10}|sk-[A-Za-z0-9_-]{20}|[sr]k_(?:live|test)_[0-9A-Za-z]{16}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16}"
 KNOWN = KEYS + r"|eyJ[A-Za-z0-9_-]{8}|-----BEGIN"
-SECRET_WORDS = r"token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential|client[_ -]?key"
-LOOKALIKE_WORDS = r"sha-?\d*|commit|hash|md5|checksum|digest|revision|uuid|guid|card|iban|isbn|phone|order|invoice|version|build|etag|image|img|src|href|path|file|url|page|id"
-PLACEHOLDERS = r"example|sample|placeholder|dummy|changeme|change_me|your|insert|redacted|null|none|default|test|token|secret|password|value|user|name|public|file|data|index|section|chapter|version|release|page|image|static|assets|node|modules|component|config|local|server|client"
+SECRET_WORDS = r"token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|secret[_ -]?key|signing[_ -]?key|encryption[_ -]?key|master[_ -]?key|auth|authorization|bearer|credentials?|client[_ -]?key"
+LOOKALIKE_WORDS = r"sha-?\d*|commit|hash|md5|checksum|digest|revision|uuid|guid|card|iban|isbn|phone|order|invoice|version|build|etag|image|img|src|href|path|file|url|page|id|integrity|class|tree|parent"
+DICTIONARY = (
+    "access account action active address admin after alert app archive article asset author back banner body border branch browser build button cache card "
+    "center change class client code color comment common company component config contact content control cover create current data date debug default "
+    "demo der design device dist email end error event example export field file filter font footer form from get head home host icon image index info "
+    "input insert install key label light line link list log main make manager map master media menu message method mobile model module name network new "
+    "next node none number object office page panel password path placeholder plan plugin point post preview price private product profile project public "
+    "query read record redacted report request response result review road root sample schema school script search second secret section server service "
+    "session set shop side site small social source start state static status step store street string style summary support system table tag task team "
+    "template test text the thing title token tool top total travel type update upload user value version video view wall water web white widget window "
+    "word work world year your "
+).split()
+COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 
 #: What leads to an assigned value; it is taken off the candidate again.
-LEAD = rf"(?i:{SECRET_WORDS})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?"
+NAMED = rf"(?i:{SECRET_WORDS})(?:[_-][A-Za-z0-9]{{1,12}}){{0,2}}"
+LEAD = rf"{NAMED}[\"']?\s{{0,2}}[:=]\s{{0,2}}(?i:(?:bearer|basic|token) )?[\"']?"
 ASSIGNED = r"(?i:passwd|password|pwd|secret|passphrase)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
 
 _PEM = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
@@ -42,9 +56,9 @@ CANDIDATE = (
     rf"{_PEM}[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{{0,24}}PRIVATE KEY-----)?"
     rf"|(?<![A-Za-z0-9_-]){_TOKEN}"
     rf"|{ASSIGNED}(?!{_PEM})[^\s\"'<>]{{8,}}+"
-    rf"|(?i:{SECRET_WORDS})[\"']?\s{{0,2}}[:=]\s{{0,2}}(?:[\"'](?!{_PEM})[^\s\"'<>]{{8,}}+|(?!{_PEM}|{_TOKEN})[A-Za-z0-9+/_=-]{{8,}}+)"
+    rf"|{NAMED}[\"']?\s{{0,2}}[:=]\s{{0,2}}(?i:(?:bearer|basic|token) )?(?:[\"'](?!{_PEM})[^\s\"'<>]{{8,}}+|(?!{_PEM}|{_TOKEN})[A-Za-z0-9+/_=-]{{8,}}+)"
     rf"|(?<![A-Za-z0-9])(?:{KEYS})[A-Za-z0-9+/_=-]*+"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 
 
@@ -53,24 +67,56 @@ def _may_hold_one(text: Column) -> Column:
     return text.rlike("(?d)" + CANDIDATE)
 
 
+def _let(x: Column, of) -> Column:
+    """of(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def _before(sizes: Column, block: int = 64) -> Column:
+    """The sum of all elements before each, in blocks, so that no array grows with every element."""
+    start = F.expr("named_struct('out', cast(array() as array<bigint>), 'at', cast(0 as bigint))")
+    step = lambda s, x: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), (s["at"] + x).alias("at"))
+
+    def whole(sizes: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(sizes), F.lit(block))
+        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(sizes, i, F.lit(block)), start, step))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, F.aggregate(b, start, lambda s, x: step(s, x["at"]))["out"], lambda x, o: F.transform(x["out"], lambda y: y + o))))
+
+    return _let(sizes, lambda s: F.when(F.size(s) > 0, whole(s)).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
+def _candidates(text: Column) -> Column:
+    """array<struct<gap, lead, value, next>>: every candidate, the text before it, and the text after it, both up to the next one."""
+    pattern = F.lit("(?d)" + CANDIDATE)
+
+    def paired(around: Column) -> Column:
+        values = F.regexp_extract_all(text, pattern, F.lit(0))
+        pairs = F.zip_with(values, F.slice(around, F.lit(1), F.size(around) - 1), lambda v, g: F.struct(v.alias("value"), F.regexp_extract(v, f"^{LEAD}", 0).alias("lead"), g.alias("gap")))
+        return F.zip_with(pairs, F.slice(around, F.lit(2), F.size(around)), lambda p, a: F.struct(p["gap"].alias("gap"), p["lead"].alias("lead"), F.substr(p["value"], F.length(p["lead"]) + 1).alias("value"), a.alias("next")))
+
+    return _let(F.split(text, "(?d)" + CANDIDATE, -1), paired)
+
+
+def _context(c: Column) -> tuple[Column, Column, Column]:
+    """Value, before and after, as features() takes them."""
+    return c["value"], F.right(F.concat(c["gap"], c["lead"]), F.lit(40)), F.left(c["next"], F.lit(16))
+
+
 def findings(text: Column | str) -> Column:
     """array<struct<value, before, after, first>> of a text's candidates; empty where there are none."""
     text = F.col(text) if isinstance(text, str) else text
-    pattern = F.lit("(?d)" + CANDIDATE)
-    values, around = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, "(?d)" + CANDIDATE, -1)
-    pairs = F.zip_with(values, F.slice(around, F.lit(1), F.size(values)), lambda v, b: F.struct(v.alias("value"), b.alias("gap")))
-    pairs = F.zip_with(pairs, F.slice(around, F.lit(2), F.size(values)), lambda p, a: F.struct(p["value"].alias("value"), p["gap"].alias("gap"), a.alias("next")))
     empty = F.expr("cast(array() as array<struct<value:string,before:string,after:string,first:bigint>>)")
-    start = F.struct(empty.alias("found"), F.lit(0).cast("long").alias("at"))
 
-    def step(s: Column, p: Column) -> Column:
-        first = s["at"] + F.length(p["gap"])
-        lead = F.regexp_extract(p["value"], f"^{LEAD}", 0)
-        value = F.substr(p["value"], F.length(lead) + 1)
-        one = F.struct(value.alias("value"), F.right(F.concat(p["gap"], lead), F.lit(40)).alias("before"), F.left(p["next"], F.lit(16)).alias("after"), (first + F.length(lead)).alias("first"))
-        return F.struct(F.concat(s["found"], F.array(one)).alias("found"), (first + F.length(p["value"])).alias("at"))
+    def placed(found: Column) -> Column:
+        sizes = F.transform(found, lambda c: (F.length(c["gap"]) + F.length(c["lead"]) + F.length(c["value"])).cast("long"))
+
+        def one(c: Column, at: Column) -> Column:
+            value, before, after = _context(c)
+            return F.struct(value.alias("value"), before.alias("before"), after.alias("after"), (at + F.length(c["gap"]) + F.length(c["lead"])).alias("first"))
 
-    return F.when(_may_hold_one(text), F.aggregate(pairs, start, step, lambda s: s["found"])).otherwise(empty)
+        return F.zip_with(found, _before(sizes), one)
+
+    return F.when(_may_hold_one(text), _let(_candidates(text), placed)).otherwise(empty)
 
 
 def _share(x: Column, kept: str, size: Column) -> Column:
@@ -95,10 +141,11 @@ def features(value: Column, before: Column, after: Column) -> Column:
         _share(low, "0-9a-f", size),
         turns / size,
         F.length(F.regexp_replace(vowels, r"(.)\1++", "$1")) / size,
-        1 - F.length(F.regexp_replace(low, PLACEHOLDERS, "")) / size,
+        1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / size,
+        F.regexp_count(low, F.lit(f"(?=(?:{'|'.join(COMMON_PAIRS)}))")) / size,
         F.length(F.regexp_replace(value, "[^/]", "")).cast("double"),
         F.length(F.regexp_replace(value, "[^-]", "")).cast("double"),
-        flag(near.rlike(rf"(?:{SECRET_WORDS})[^a-z\n]{{0,12}}$")),
+        flag(near.rlike(rf"(?:{NAMED}|[a-z0-9]{{2,20}}[_-]key)[^a-z\n]{{0,12}}(?:(?:bearer|basic|token) [^a-z\n]{{0,4}})?$")),
         flag(near.rlike(r"[:=]\s{0,3}[\"'`]?$")),
         flag(near.rlike(r"[\"'`]$") & after.rlike("^[\"'`]")),
         flag(near.rlike(rf"(?:^|[^a-z])(?:{LOOKALIKE_WORDS})[^a-z\n]{{0,6}}$")),
@@ -113,31 +160,42 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     hexa = lambda n, salt: f"substring(sha2(concat('{salt}', id), 512), 1, {n})"
     digits = lambda n, salt: f"substring(translate(sha2(concat('{salt}', id), 512), 'abcdef', '123456'), 1, {n})"
     word = lambda salt: f"element_at(array('section','report','der','entre','able','figure','thing','onder','mente','over','ation','result'), cast(pmod(hash('{salt}', id), 12) + 1 as int))"
-    sizes = "element_at(array(20, 24, 32, 40, 48, 64), cast(pmod(hash('z', id), 6) + 1 as int))"
-    sign = "element_at(array(' = \"', '=\"', ': \"', '=', ': ', ' = '), cast(pmod(hash('s', id), 6) + 1 as int))"
-    named = "element_at(array('token', 'secret', 'api_key', 'password', 'access_key', 'auth_token', 'client_secret', 'passwd'), cast(pmod(hash('n', id), 8) + 1 as int))"
-    plain = "element_at(array('commit ', 'sha256: ', 'md5 = ', 'checksum = \"', 'hash: ', 'revision ', 'etag = \"', 'digest: '), cast(pmod(hash('p', id), 8) + 1 as int))"
+    pick = lambda salt, *of: f"element_at(array({', '.join(repr(x) for x in of)}), cast(pmod(hash('{salt}', id), {len(of)}) + 1 as int))"
+    sign = pick("s", ' = "', '="', ': "', "=", ": ", " = ", '": "')
+    named = pick("n", "token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "passwd", "SECRET_KEY", "signing_key", "DB_PASSWORD", "bearer")
+    plain = pick("p", "commit ", "sha256: ", 'md5 = "', 'checksum = "', "hash: ", "revision ", 'etag = "', "digest: ", "tree ", 'integrity="sha384-')
+    sizes = pick("z", 20, 24, 32, 40, 48, 64)
     kinds = [  # value, before, label
         (hexa(sizes, "a"), f"concat({named}, {sign})", 1),
         (key(sizes, "b"), f"concat({named}, {sign})", 1),
         (hexa(sizes, "c"), f"concat({named}, ' = \"')", 1),
+        (f"translate({key(sizes, 'ce')}, '0123456789', 'ghjkmnpqrs')", f"concat({named}, {sign})", 1),
+        (f"lower(translate({key('24', 'cf')}, '0123456789', 'ghjkmnpqrs'))", f"concat({named}, {sign})", 1),
+        (key(sizes, "cg"), f"concat({pick('ch', 'MAILER_KEY', 'maps_key', 'x-service-key', 'DEPLOY_KEY')}, {sign})", 1),
+        (hexa(sizes, "ca"), pick("cb", "Authorization: Bearer ", "Proxy-Authorization: Basic ", "auth: Bearer ", "with bearer token "), 1),
+        (key(sizes, "cc"), pick("cd", "Authorization: Bearer ", "Proxy-Authorization: Basic ", "auth: Bearer ", "with bearer token "), 1),
         (f"concat('AKIA', upper({key(16, 'd')}))", f"concat({word('da')}, ' ')", 1),
         (f"concat('ghp_', {key(36, 'e')})", f"concat({word('ea')}, ' ')", 1),
         (f"concat('sk-', {key(40, 'f')})", f"concat({word('fa')}, ' ')", 1),
         (f"concat('eyJ', {key(30, 'g')}, '.', {key(60, 'h')}, '.', {key(43, 'i')})", "'Authorization: Bearer '", 1),
         (f"concat('xoxb-', {digits(12, 'j')}, '-', {key(24, 'k')})", f"concat({word('ja')}, ' ')", 1),
-        (key(12, "l"), "concat('password', element_at(array(' = \"', ': ', '='), cast(pmod(hash('l', id), 3) + 1 as int)))", 1),
+        (key(12, "l"), f"concat('password', {pick('l', ' = "', ': ', '=')})", 1),
+        (f"concat({word('la')}, {pick('lb', '!', '_', '-', '#')}, {digits(4, 'lc')}, {key(3, 'ld')})", f"concat({pick('le', 'password', 'passwd', 'pwd')}, {sign})", 1),
         (f"concat('AIza', {key(35, 'm')})", "'key='", 1),
         (hexa(sizes, "n"), plain, 0),
+        (key("64", "na"), plain, 0),
         (hexa(sizes, "o"), f"concat({word('oa')}, ' ')", 0),
-        (f"concat_ws('-', {hexa(8, 'p')}, {hexa(4, 'q')}, {hexa(4, 'r')}, {hexa(4, 's')}, {hexa(12, 't')})", "element_at(array('id = \"', 'uuid: ', ' ', 'guid='), cast(pmod(hash('u', id), 4) + 1 as int))", 0),
-        (digits(16, "u"), f"concat({word('ua')}, element_at(array(' ', ', ', ' card '), cast(pmod(hash('v', id), 3) + 1 as int)))", 0),
-        (digits(sizes, "v"), "element_at(array('id = \"', 'order: ', 'invoice '), cast(pmod(hash('w', id), 3) + 1 as int))", 0),
-        (f"concat_ws('/', {word('w')}, {word('wa')}, concat({word('wb')}, {digits(3, 'wc')}))", "element_at(array('path = \"', '/', ' '), cast(pmod(hash('x', id), 3) + 1 as int))", 0),
+        (f"concat_ws('-', {hexa(8, 'p')}, {hexa(4, 'q')}, {hexa(4, 'r')}, {hexa(4, 's')}, {hexa(12, 't')})", pick("u", 'id = "', "uuid: ", " ", "guid="), 0),
+        (digits(16, "u"), f"concat({word('ua')}, {pick('v', ' ', ', ', ' card ')})", 0),
+        (digits(sizes, "v"), pick("w", 'id = "', "order: ", "invoice "), 0),
+        (f"concat_ws('/', {word('w')}, {word('wa')}, concat({word('wb')}, {digits(3, 'wc')}))", pick("x", 'path = "', "/", " "), 0),
         (f"concat({word('x')}, {word('xa')}, {word('xb')}, {digits(2, 'xc')})", f"concat({word('xd')}, ' ')", 0),
+        (f"concat({word('xe')}, initcap({word('xf')}), {digits(1, 'xg')}, initcap({word('xh')}), initcap({word('xi')}))", f"concat({word('xj')}, {pick('xk', ' ', '.', '(')})", 0),
+        (f"concat_ws('_', {word('xl')}, {word('xm')}, {digits(2, 'xn')}, {word('xo')})", f"concat({word('xp')}, {pick('xq', ' ', '.', ' = ')})", 0),
         (f"concat('your_', {named}, '_', {digits(2, 'y')}, '_example')", f"concat({named}, {sign})", 0),
+        (f"concat({word('yf')}, {pick('yg', '_', '-', '')}, {word('yh')}, {pick('yi', '', '_here', '-name')})", f"concat({pick('yj', 'token', 'auth', 'secret', 'api_key', 'credentials')}, {pick('yk', ': ', '=', ' = ')})", 0),
         (f"concat_ws('-', {word('ya')}, {word('yb')}, {digits(4, 'yc')}, {digits(2, 'yd')})", f"concat({word('ye')}, ' ')", 0),
-        (key("96", "z"), "element_at(array('src=\"data:image/png;base64,', 'img ', 'image: '), cast(pmod(hash('y', id), 3) + 1 as int))", 0),
+        (key("96", "z"), pick("y", "src=\"data:image/png;base64,", "img ", "image: "), 0),
     ]
     rows_of = [f"WHEN {k} THEN named_struct('value', {v}, 'before', {b}, 'label', {y})" for k, (v, b, y) in enumerate(kinds)]
     made = spark.range(0, rows, 1, 1).selectExpr("id", f"CASE id % {len(kinds)} {' '.join(rows_of)} END AS f")
@@ -182,11 +240,15 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
     return out
 
 
+def forest(spark: SparkSession, trees: int = TREES, depth: int = DEPTH) -> list[tuple[list[int], list[float], list[float]]]:
+    """The forest fitted on the labelled findings."""
+    rows = labelled_findings(spark).select(features(F.col("value"), F.col("before"), F.col("after")).alias("x"), "label").collect()  # TRAINING_ROWS
+    return fit_forest(np.array([r.x for r in rows]), np.array([r.label for r in rows], float), trees, depth)
+
+
 @cache
 def _forest_literal(trees: int, depth: int) -> str:
-    spark = SparkSession.getActiveSession()
-    rows = labelled_findings(spark).select(features(F.col("value"), F.col("before"), F.col("after")).alias("x"), "label").collect()  # TRAINING_ROWS
-    fitted = fit_forest(np.array([r.x for r in rows]), np.array([r.label for r in rows], float), trees, depth)
+    fitted = forest(SparkSession.getActiveSession(), trees, depth)
     number = lambda v: "double('infinity')" if v == float("inf") else f"{v!r}D"
     return ", ".join(f"named_struct('f', array({', '.join(map(str, f))}), 't', array({', '.join(map(number, t))}), 'y', array({', '.join(map(number, y))}))" for f, t, y in fitted)
 
@@ -216,15 +278,15 @@ def secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.5, column: str = "text") -> DataFrame:
     """The documents with every secret's text replaced by mark; all else as it was."""
-    found = F.filter(scored_findings(column), lambda f: f["score"] >= threshold)
-    start = F.struct(F.lit("").alias("out"), F.lit(1).cast("int").alias("at"))
+    text = F.col(column)
 
-    def step(s: Column, f: Column) -> Column:
-        first = f["first"].cast("int") + 1
-        return F.struct(F.concat(s["out"], F.substring(F.col(column), s["at"], first - s["at"]), F.lit(mark)).alias("out"), (first + F.length(f["value"])).alias("at"))
+    def piece(c: Column) -> Column:
+        seen = F.struct(*(x.alias(n) for n, x in zip(("value", "before", "after"), _context(c), strict=True)))
+        score = _let(_let(seen, lambda x: features(x["value"], x["before"], x["after"])), lambda x: forest_score(x))
+        return F.concat(c["gap"], c["lead"], F.when(score >= threshold, F.lit(mark)).otherwise(c["value"]))
 
-    whole = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(F.col(column), s["at"], F.length(F.col(column)))))
-    return docs.withColumn(column, F.when(_may_hold_one(F.col(column)), whole).otherwise(F.col(column)))
+    whole = _let(_candidates(text), lambda found: F.concat(F.array_join(F.transform(found, piece), ""), F.element_at(found, -1)["next"]))
+    return docs.withColumn(column, F.when(_may_hold_one(text), whole).otherwise(text))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
