@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from texmill.llm import decontaminate, html_extract, language_id, near_dedup, packing, resampling, secrets, token_counts, vector_search
@@ -174,6 +175,66 @@ def test_resampling_takes_k(spark):
     assert resampling.resample(table(spark, []), labels).count() == 0
 
 
+def brute_weights(rows, good):
+    """Weights from the definition: hashed n-grams of two models, counted one by one."""
+    whole = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    def grams(text):
+        before, out = 0, []
+        for w in (text or "").encode().split():
+            code = xxhash.xxh3_64_intdigest(w) & ~0xFF | resampling.shape(w)
+            out.append(mix(code) % resampling.WORDS)
+            out.append(mix((code * 0x9E3779B97F4A7C15 + mix(before)) & whole) % resampling.PAIRS + resampling.WORDS)
+            out.append(mix(code & 0xFF | (before & 0xFF) << 8 | (code == before) << 16) % resampling.SHAPES + resampling.WORDS + resampling.PAIRS)
+            before = code
+        return out
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, text, *_ in rows:
+        raw.update(grams(text))
+        if i in good:
+            target.update(grams(text))
+    parts = ((0, resampling.WORDS), (resampling.WORDS, resampling.WORDS + resampling.PAIRS), (resampling.WORDS + resampling.PAIRS, resampling.BUCKETS))
+    share = {p: sum(n for b, n in target.items() if p[0] <= b < p[1]) / sum(n for b, n in raw.items() if p[0] <= b < p[1]) for p in parts}
+
+    def ratio(b):
+        s = next(share[p] for p in parts if p[0] <= b < p[1])
+        return min(8, max(-8, math.log((target[b] + 100 * s) / (raw[b] + 100)) - math.log(s)))
+
+    return [(i, 64 * sum(map(ratio, g)) / (len(g) + 30)) for i, text, *_ in rows if (g := grams(text))]
+
+
+def test_resampling_equals_brute_force(spark):
+    good, bad = quality_rows()
+    labels = spark.createDataFrame([(r[0], int(r[0] < 200)) for r in good[:60] + bad[:20]] + [(good[0][0], 0), (bad[0][0], None)], "doc_id long, quality int")
+    rows = good + bad + odd_rows() + [good[3], good[3], (None, good[4][1], None, None, None)]
+    got = resampling.resample(table(spark, rows), labels, k=50).collect()
+    want = brute_weights(rows, {r[0] for r in good[:60]})
+    assert sorted(((str(r.doc_id), r.log_weight) for r in got if r.log_weight is not None)) == [(i, pytest.approx(w, abs=1e-5)) for i, w in sorted((str(i), w) for i, w in want)]
+    keys = sorted((r.gumbel_key for r in got if r.log_weight is not None), reverse=True)
+    assert all(r.kept == (r.log_weight is not None and r.gumbel_key >= keys[49]) for r in got)
+    same = {(r.gumbel_key, r.kept) for r in got if r.doc_id == 3}
+    assert len(same) == 1 and len({r.gumbel_key for r in got if r.doc_id is None}) == 2
+
+
+def test_noise_decides_among_documents_of_like_weight(spark):
+    good, bad = quality_rows()
+    labels = spark.createDataFrame([(r[0], int(r[0] < 200)) for r in good[:60] + bad[:20]], "doc_id long, quality int")
+    drawn, plain = collections.Counter(), None
+    for seed in range(6):
+        got = [r for r in resampling.resample(table(spark, good + bad), labels, k=60, seed=seed).collect()]
+        plain = {r.doc_id for r in sorted(got, key=lambda r: -r.log_weight)[:60]}
+        kept = {r.doc_id for r in got if r.kept}
+        assert len(kept) == 60 and max(kept) < 200 and kept != plain
+        drawn.update(kept)
+    assert len(drawn) > 100  # of 120 good ones
+
+
 def test_kth_largest(spark):
     rng = random.Random(6)
     values = [rng.choice([rng.gauss(0, 1), 1e9, -5.0, 0.25]) for _ in range(900)]

@@ -13,7 +13,10 @@ The raw counts cover all documents; each task hands on one sum per hashed n-gram
 ``label_rows`` rows by hash of their id (a documented parameter), which is looked up at the map side.
 
 Defined results: null and blank texts have no n-grams, a null weight, and are never kept; equal texts have equal
-weights but noise of their own; without labels of both kinds every document with n-grams is kept; extra columns pass.
+weights but, under ids of their own, noise of their own; rows that agree in id and text (null ids too) are one draw, so
+all or none of them stay, and what ties with the k-th key stays too (more than k rows then); a label of a null id or
+quality says nothing, and of several for one id the best counts; without labels of both kinds every document with
+n-grams is kept; an empty table gives an empty result; extra columns pass.
 """
 
 from __future__ import annotations
@@ -108,7 +111,7 @@ class Model:
 
 def labelled(labels: DataFrame, label_rows: int, seed: int) -> dict:
     """A bounded sample of the labels, by hash of the id."""
-    sample = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(label_rows)
+    sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(label_rows)
     return {r.doc_id: r.quality > 0 for r in sample.collect()}
 
 
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, seed: int
     return Model(spark.sparkContext.broadcast(np.clip(ratio, -8, 8)), known)
 
 
-def scored(docs: DataFrame, model: Model, size: str = "n_ngrams", weight: str = "log_weight") -> DataFrame:
+def scored(docs: DataFrame, model: Model, size: str = "n_ngrams", weight: str = "log_weight", worth: float = 64.0, lean: float = 30.0) -> DataFrame:
     """The documents with their number of n-grams and log weight under these names."""
     ratio, names = model.ratio, docs.columns
     at = names.index("text")
@@ -158,10 +161,10 @@ def scored(docs: DataFrame, model: Model, size: str = "n_ngrams", weight: str =
             n, weights = [], []
             for _, texts in runs(batch.column(at).to_pylist()):
                 buckets, starts = grams.of(texts)
-                worth = ratio.value[buckets]
+                ratios = ratio.value[buckets]
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     n.append(b - a)
-                    weights.append(float(worth[a:b].sum()) if b > a else None)
+                    weights.append(worth * float(ratios[a:b].sum()) / (b - a + lean) if b > a else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(weights, pa.float64())], [*names, size, weight])
 
     return docs.transform(map_batches, score, T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(weight, T.DoubleType())]))
@@ -175,9 +178,10 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def gumbel_key(seed: int, weight: str = "log_weight") -> Column:
-    """A log weight plus Gumbel noise that the document's id and the seed fix."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+def gumbel_key(seed: int, weight: str = "log_weight", text: Column | None = None) -> Column:
+    """A log weight plus Gumbel noise that the document's id, its text (or its digest, text_hash) and the seed fix."""
+    digest = F.col("text_hash") if text is None else F.xxhash64(text)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), digest, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return F.col(weight) - F.log(-F.log(uniform))
 
 
@@ -244,10 +248,15 @@ def choose(scores: DataFrame, labels: dict, k: int | None, seed: int) -> float:
     return kth_largest(keyed, "key", k) if k < keyed.count() else float("-inf")
 
 
+def _weights(docs: DataFrame, model: Model) -> DataFrame:
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return keep(scored(named, model).drop("text"), "weights")
+
+
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """doc_id, n_ngrams, log_weight, gumbel_key, kept of every document."""
     model = fit(docs, labels, label_rows, seed)
-    scores = keep(scored(docs.select("doc_id", "text"), model).drop("text"), "weights")
+    scores = _weights(docs, model)
     cut = choose(scores, model.labels, k, seed)
     keyed = scores.withColumn("gumbel_key", gumbel_key(seed))
     kept = F.coalesce(F.col("gumbel_key") >= cut, F.lit(False))
@@ -257,9 +266,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, label_row
 def only_kept(docs: DataFrame, labels: DataFrame, k: int | None = None, label_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """The documents that resample() keeps, with their columns; texts are not shuffled."""
     model = fit(docs, labels, label_rows, seed)
-    cut = choose(keep(scored(docs.select("doc_id", "text"), model).drop("text"), "weights"), model.labels, k, seed)
+    cut = choose(_weights(docs, model), model.labels, k, seed)
     size, weight = fresh(docs.columns, "n_ngrams"), fresh(docs.columns, "log_weight")
-    return scored(docs, model, size, weight).where(gumbel_key(seed, weight) >= cut).drop(size, weight)
+    return scored(docs, model, size, weight).where(gumbel_key(seed, weight, F.col("text")) >= cut).drop(size, weight)
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
