@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texmill.functions.folds import before, let
+
 #: A run of text (escaped characters included) or one brace; possessive.
 BRACE_TOKEN = r"((?s)(?:[^{}\\]++|\\(?:.|$))++|[{}])"
 #: What matching of {} and [] steps over or stops at: escapes, other commands, brackets.
@@ -14,13 +16,9 @@ BRACKET_TOKEN = r"(?s)\\[{}\\]|\\\p{L}*+|[{}\[\]]|[^\\{}\[\]]++"
 def brace_tokens(text: Column) -> Column:
     """array<struct<kind, off>>: `{`, `}` or T (a run of anything else), with 0-based offsets."""
     tokens = F.regexp_extract_all(text, F.lit(BRACE_TOKEN), F.lit(1))
-    start = F.struct(F.expr("cast(array() as array<struct<kind:string,off:bigint>>)").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(s: Column, t: Column) -> Column:
-        one = F.struct(F.when(t.isin("{", "}"), t).otherwise("T").alias("kind"), s["at"].alias("off"))
-        return F.struct(F.concat(s["out"], F.array(one)).alias("out"), (s["at"] + F.length(t)).alias("at"))
-
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+    kind = lambda t: F.when(t.isin("{", "}"), t).otherwise("T")
+    places = lambda ts: before(F.transform(ts, lambda t: F.length(t).cast("long")))
+    return let(tokens, lambda ts: F.zip_with(ts, places(ts), lambda t, off: F.struct(kind(t).alias("kind"), off.alias("off"))))
 
 
 def brackets(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from texmill.functions.folds import scan
+
 # Tokens, environments, commands and thresholds that results depend on.
 PLACEHOLDER = r"\[\[[A-Z_]+_\d+\]\]"
 CHUNK_TOKEN = r"\{\{CHUNK_[a-f0-9-]+\}\}"
@@ -17,17 +19,12 @@ SOFT_RAW, PARAGRAPH_RAW = "[[SL_RAW]]", "[[PL_RAW]]"
 BLANKS = " \t\n\r\u000b\u000c"
 SECTIONS = ("section", "subsection", "subsubsection", "paragraph", "subparagraph", "chapter", "part")
 STRUCTURAL = (
-    r"\\(?:begin|end)\{",
-    *(rf"\\{c}" for c in SECTIONS),
-    *(rf"\\{c}" for c in ("title", "author", "maketitle", "bibliographystyle", "bibliography", "tableofcontents", "listoffigures", "listoftables", "newpage", "clearpage", "balance")),
-    "%",
-    *(rf"\\{c}" for c in ("item", "caption", "centering", "label")),
-    r"\[(?!\[)",
-    r"\](?!\])",
-    *(rf"\\{c}" for c in ("toprule", "midrule", "bottomrule", "hline")),
-    "&",
-    r"\\\\\s*$",
-)
+    r"\\begin\{", r"\\end\{", r"\\section", r"\\subsection", r"\\subsubsection", r"\\paragraph", r"\\subparagraph", r"\\chapter", r"\\part",
+    r"\\title", r"\\author", r"\\maketitle", r"\\bibliographystyle", r"\\bibliography", r"\\tableofcontents", r"\\listoffigures", r"\\listoftables", r"\\newpage", r"\\clearpage", r"\\balance",
+    "%", r"\\item", r"\\caption", r"\\centering", r"\\label", r"\[(?!\[)", r"\](?!\])", r"\\toprule", r"\\midrule", r"\\bottomrule", r"\\hline", "&", r"\\\\\s*$",
+)
+#: What a chunk's length doesn't count, besides tokens: commands with their arguments, then braces, brackets and backslashes.
+UNCOUNTED = (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})*", r"[{}\[\]\\]")
 COMMENT_SAFE = ("verbatim", "lstlisting", "minted", "comment")
 ABSTRACT_LIMIT, CHUNK_LEAST = 2000, 20
 CHARS_PER_TOKEN = {"http": 2.5, "ark": 2.5, "openai": 2.5, "anthropic": 3.5}
@@ -54,9 +51,9 @@ def remove_comments(text: Column) -> Column:
     names = "|".join(COMMENT_SAFE)
     begins, ends = rf"\\begin\{{(?:{names})\}}", rf"\\end\{{(?:{names})\}}"
 
-    def step(s: Column, line: Column) -> Column:
+    def step(inside: Column, line: Column) -> tuple[Column, Column]:
         enters, leaves = line.rlike(begins), line.rlike(ends)
-        whole = (s["inside"] | enters) & ~leaves
+        whole = (inside | enters) & ~leaves
         first = F.ltrim(line)
         cut = F.regexp_replace(line, r"(?d)(?<!\\)%.*$", "")
         kept = (
@@ -65,10 +62,9 @@ def remove_comments(text: Column) -> Column:
             .when((strip(cut) == "") & (strip(line) != ""), F.slice(F.array(line), 1, 0))
             .otherwise(F.array(F.rtrim(cut)))
         )
-        return F.struct(F.concat(s["out"], kept).alias("out"), F.when(leaves, False).otherwise(s["inside"] | enters).alias("inside"))
+        return F.when(leaves, False).otherwise(inside | enters), kept
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"))
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda s: F.array_join(s["out"], "\n"))
+    return F.array_join(scan(F.split(text, "\n", -1), F.lit(False), step, "string"), "\n")
 
 
 def split_document(text: Column) -> Column:
@@ -146,15 +142,31 @@ def structural_line(line: Column) -> Column:
 
 def clean_length(text: Column) -> Column:
     """Length without tokens, commands with their arguments, braces, brackets and backslashes."""
-    x = F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, ""), CHUNK_TOKEN, "")
-    x = F.regexp_replace(x, r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})*", "")
-    return F.length(strip(F.regexp_replace(x, r"[{}\[\]\\]", ""))).cast("long")
+    for pattern in (PLACEHOLDER, CHUNK_TOKEN, *UNCOUNTED):
+        text = F.regexp_replace(text, pattern, "")
+    return F.length(strip(text)).cast("long")
 
 
 def token_estimate(text: Column, provider: str = "openai") -> Column:
     return F.floor(F.length(text) / CHARS_PER_TOKEN[provider]).cast("long")
 
 
+def token_count(text: Column, tokenizer: str) -> Column:
+    """Tokens by a tokenizer file (.json of the tokenizers library), where the estimate isn't enough; null for null."""
+    held: dict = {}
+
+    @F.pandas_udf("long")
+    def count(texts):
+        from tokenizers import Tokenizer
+
+        if not held:
+            held["t"] = Tokenizer.from_file(tokenizer)
+        of = held["t"].encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return texts.__class__([None if t is None else len(e.ids) for t, e in zip(texts, of, strict=True)], dtype="Int64")
+
+    return count(text)
+
+
 def line_and_column(text: Column, offset: Column) -> Column:
     """1-based line and column of a 0-based offset."""
     before = F.left(text, offset)

@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texmill.functions.text import member_class
 
 
-def nth_smallest(rows: DataFrame, column: str, place, slots: int = 4096) -> DataFrame:
-    """One row, value: the place(n)-th smallest of the n values.
+def nth_smallest(rows: DataFrame, column: str, place, slots: int = 4096, few: int = 10_000) -> DataFrame:
+    """One row, value: the place(n)-th smallest of the n values; no row without values.
 
-    Counts per slot of the value range give the slot that holds it; only that slot's values are ranked.
+    Counts per slot of the value range give the slot that holds it, whose values are counted in slots again, until
+    they are few; so neither outliers nor ties gather rows in one task. At most slots or few rows reach the driver.
     """
     x = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-    slot = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slots), F.lit(slots - 1))).otherwise(0)
-    placed = x.join(F.broadcast(ends)).withColumn("slot", slot)  # ends is one row
-    counts = placed.groupBy("slot").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("slot")))  # slots rows at most
-    chosen = upto.where((F.col("upto") >= place(F.col("n"))) & (F.col("upto") - F.col("c") < place(F.col("n")))).select("slot", (place(F.col("n")) - F.col("upto") + F.col("c")).alias("nth"))
-    ranked = placed.join(F.broadcast(chosen), "slot").withColumn("r", F.row_number().over(Window.partitionBy("slot").orderBy("x")))
-    return ranked.where("r = nth").select(F.col("x").alias("value"))
+    low, high, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    out = lambda *values: rows.sparkSession.createDataFrame([(v,) for v in values], "value double")
+    if not n:
+        return out()
+    nth = place(n)
+    while n > few and low < high:
+        inside, width = x.where((F.col("x") >= low) & (F.col("x") <= high)), (high - low) / slots
+        if low + width == low:
+            break
+        slot = F.least(F.floor((F.col("x") - low) / width), F.lit(slots - 1))
+        for r in sorted(inside.groupBy(slot.alias("slot")).agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda r: r.slot):
+            if nth <= r.c:
+                low, high, n = r.lo, r.hi, r.c
+                break
+            nth -= r.c
+    if low == high:
+        return out(low)
+    values = x.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count("*").alias("c")).collect()  # few, or neighbouring doubles
+    for r in sorted(values, key=lambda r: r.x):
+        if nth <= r.c:
+            return out(r.x)
+        nth -= r.c
+    return out(high)
 
 
 def probe_summary(calls: DataFrame) -> DataFrame:
@@ -29,7 +47,7 @@ def probe_summary(calls: DataFrame) -> DataFrame:
 
     p95 is the value at place floor(0.95 * (n - 1)) of the ordered successes, counted from 0; null without any.
     """
-    p95 = nth_smallest(calls.where("ok"), "latency_ms", lambda n: F.floor(0.95 * (n - 1)) + 1).select(F.round("value", 2).alias("latency_p95"))
+    p95 = nth_smallest(calls.where("ok"), "latency_ms", lambda n: math.floor(0.95 * (n - 1)) + 1).select(F.round("value", 2).alias("latency_p95"))
     base = calls.agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.count_if("ok") / F.count("*"), 4).alias("success_rate"), F.round(F.avg(F.when(F.col("ok"), F.col("latency_ms"))), 2).alias("latency_avg"))
     return base.join(p95, F.lit(True), "left")  # one row each
 
@@ -134,3 +152,20 @@ def paper_rollup(reports: DataFrame, needs: dict[str, int]) -> DataFrame:
 def expected_terms(rows: DataFrame, key: str) -> DataFrame:
     """key, term of every expected term that the translation lacks."""
     return rows.select(key, F.explode(F.filter("expected", lambda t: ~F.contains("translation", t))).alias("term"))
+
+
+def counts_in_order(calls: DataFrame, models: list[str], by: str = "model") -> DataFrame:
+    """ord, by, success, errors of the given models in the given order; those without calls count 0, others are left out."""
+    order = calls.sparkSession.createDataFrame(list(enumerate(models)), f"ord long, {by} string")
+    counts = calls.groupBy(by).agg(F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("errors"))
+    return F.broadcast(order).join(counts, by, "left").na.fill(0, ["success", "errors"]).select("ord", by, "success", "errors").orderBy("ord")  # a hand-written list
+
+
+def parse_failures(reports: DataFrame) -> DataFrame:
+    """paper_id, error of the reports that could not be parsed, by id."""
+    return reports.where(~F.coalesce("parsed", F.lit(False))).select("paper_id", F.coalesce("error", F.lit("unknown")).alias("error")).orderBy("paper_id")
+
+
+def tally(calls: DataFrame) -> DataFrame:
+    """total, success, errors, mean seconds of the successes, of calls (ok, seconds)."""
+    return calls.agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("errors"), F.round(F.avg(F.when(F.col("ok"), F.col("seconds"))), 4).alias("mean_seconds"))

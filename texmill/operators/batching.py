@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texmill.functions.folds import scan
 from texmill.functions.text import only_placeholder, strip
 
 SHORT, BATCH_CHARS = 300, 2000
@@ -22,19 +23,15 @@ def route(content: Column, short: int = SHORT) -> Column:
 
 def batch_numbers(sizes: Column, most: int = BATCH_CHARS) -> Column:
     """For sizes in order: the batch of each, filled greedily; one over the limit alone is a batch."""
-    start = F.expr("named_struct('b', 0, 'used', cast(0 as bigint), 'n', 0, 'out', cast(array() as array<int>))")
+    start = F.expr("named_struct('b', 0, 'used', cast(0 as bigint), 'n', 0)")
 
-    def step(s: Column, size: Column) -> Column:
+    def step(s: Column, size: Column) -> tuple[Column, Column]:
         full = (s["n"] > 0) & (s["used"] + size > most)
         b = s["b"] + full.cast("int")
-        return F.struct(
-            b.alias("b"),
-            (F.when(full, F.lit(0)).otherwise(s["used"]) + size).cast("long").alias("used"),
-            (F.when(full, F.lit(0)).otherwise(s["n"]) + 1).alias("n"),
-            F.concat(s["out"], F.array(b)).alias("out"),
-        )
+        used, n = (F.when(full, F.lit(0)).otherwise(s[c]) for c in ("used", "n"))
+        return F.struct(b.alias("b"), (used + size).cast("long").alias("used"), (n + 1).cast("int").alias("n")), F.array(b)
 
-    return F.aggregate(F.transform(sizes, lambda x: x.cast("long")), start, step, lambda s: s["out"])
+    return scan(F.transform(sizes, lambda x: x.cast("long")), start, step, "int")
 
 
 def greedy_batches(units: DataFrame, group: str, order: str, column: str = "text", most: int = BATCH_CHARS) -> DataFrame:
@@ -58,10 +55,14 @@ def parse_reply(reply: Column, n: Column) -> Column:
     return F.when(fine, ordered).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+#: Seconds to wait after a failed try, by kind of failure: at least, times base, to the power of the attempt.
+WAITS = {"timeout": (10.0, 2.0, 2.0), "rate_limit": (5.0, 1.0, 3.0), "generic": (0.0, 1.0, 2.0)}
+
+
 def backoff(kind: Column, attempt: Column, base: float = 1.0) -> Column:
     """Seconds to wait after a failed try: timeouts, rate limits and the rest have their own curve."""
-    two, three = F.pow(F.lit(2.0), attempt), F.pow(F.lit(3.0), attempt)
-    return F.when(kind == "timeout", F.greatest(F.lit(10.0), base * two * 2)).when(kind == "rate_limit", F.greatest(F.lit(5.0), base * three)).otherwise(base * two)
+    curve = lambda k: F.greatest(F.lit(WAITS[k][0]), base * WAITS[k][1] * F.pow(F.lit(WAITS[k][2]), attempt))
+    return F.when(kind == "timeout", curve("timeout")).when(kind == "rate_limit", curve("rate_limit")).otherwise(curve("generic"))
 
 
 def failure_kind(message: Column) -> Column:

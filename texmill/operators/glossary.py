@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texmill.functions.folds import let
+
 COLUMNS = "ord int, term string, target string, context string, domain string, priority int, notes string"
 
 
@@ -53,9 +55,33 @@ def by_blocks(rows: DataFrame, small: DataFrame, on: Column, name: str, block: i
     return out
 
 
+#: Glossaries of up to so many terms go into the plan as literals, whose patterns are compiled once; longer ones are joined.
+LITERALS = 500
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def hits(texts: DataFrame, glossary: DataFrame, column: str = "text", block: int = BLOCK) -> DataFrame:
-    """Every row of texts with each term that occurs in it."""
-    return by_blocks(texts, glossary.select("term", "target"), occurs(F.col(column), F.col("term")), "term", block)
+    """Every row of texts with each term that occurs in it.
+
+    A term's pattern is only tried where the term is part of the text in any case.
+    """
+    terms = glossary.select("term", "target")
+    held = terms.limit(LITERALS + 1).collect()
+    low = F.translate(F.col(column), _UPPER, _LOWER)
+    if len(held) <= LITERALS:
+        to_lower = str.maketrans(_UPPER, _LOWER)
+        found = let(low, lambda x: F.array(*(F.when(F.contains(x, F.lit(r.term.translate(to_lower))) & occurs(F.col(column), F.lit(r.term)), F.struct(F.lit(r.term).alias("term"), F.lit(r.target).cast("string").alias("target"))) for r in held if r.term is not None)))
+        empty = F.expr("cast(array() as array<struct<term:string,target:string>>)")
+        each = F.filter(found, lambda x: x.isNotNull()) if any(r.term is not None for r in held) else empty
+        return texts.select("*", F.explode(each).alias("_hit")).select(*texts.columns, "_hit.term", "_hit.target")
+    lowered = texts.withColumn("_low", low)
+    joined = by_blocks(lowered, terms.withColumn("_term", F.translate("term", _UPPER, _LOWER)), F.contains(F.col("_low"), F.col("_term")) & occurs(F.col(column), F.col("term")), "term", block)
+    return joined.drop("_low", "_term")
+
+
+def get(glossary: DataFrame, term: str) -> DataFrame:
+    """The entry of exactly this term: one row or none."""
+    return glossary.where(F.col("term") == F.lit(term))
 
 
 def hints(texts: DataFrame, glossary: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -219,9 +219,10 @@ def footnotes(doc: Parsed, text: str) -> str:
 
 
 def clean_length(text: str) -> int:
-    bare = _CHUNK.sub("", re.sub(fn.PLACEHOLDER, "", text))
-    bare = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})*", "", bare)
-    return len(re.sub(r"[{}\[\]\\]", "", bare).strip())
+    """What fn.clean_length gives, for a pass that is under way."""
+    for pattern in (fn.PLACEHOLDER, fn.CHUNK_TOKEN, *fn.UNCOUNTED):
+        text = re.sub(pattern, "", text)
+    return len(text.strip())
 
 
 def paragraphs(doc: Parsed, text: str) -> str:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texmill.operators.batching import WAITS
+
 META = "provider string, mode string, variant string, cache_hit boolean, cached_tokens long, prompt_tokens long, completion_tokens long, total_tokens long, cache_creation_tokens long"
 
 
@@ -163,9 +165,8 @@ def usage_meta(usage: Column, name: str) -> Column:
 
 
 def wait_seconds(kind: str, attempt: int, base: float = 1.0) -> float:
-    if kind == "timeout":
-        return max(10.0, base * 2 ** (attempt + 1))
-    return max(5.0, base * 3**attempt) if kind == "rate_limit" else base * 2**attempt
+    least, times, power = WAITS[kind]
+    return max(least, base * times * power**attempt)
 
 
 def kind_of(error: Exception) -> str:

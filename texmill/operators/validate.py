@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texmill.functions.brackets import brace_tokens, unbalanced
+from texmill.functions.folds import before, let
 from texmill.functions.text import PLACEHOLDER, line_and_column, snippet, strip
 from texmill.operators.glossary import by_blocks
 
@@ -83,18 +84,41 @@ def chunk_brace_findings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     )
 
 
+#: Lists of up to so many patterns go into the plan as literals, which are compiled once; longer ones are joined.
+LITERALS = 200
+
+
+def _places(text: Column, pattern: Column) -> Column:
+    """0-based places of all matches."""
+    pair = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(x: Column) -> Column:
+        gaps = F.transform(F.slice(x["gaps"], F.lit(1), F.size(x["values"])), lambda g: F.length(g))
+        sizes = F.zip_with(gaps, x["values"], lambda g, v: (g + F.length(v)).cast("long"))
+        return F.zip_with(before(sizes), gaps, lambda at, g: (at + g).cast("int"))
+
+    return let(pair, placed)
+
+
 def rule_findings(docs: DataFrame, rules: DataFrame, key: str = "doc_id", column: str = "text", trigger: str | None = None) -> DataFrame:
     """One finding per match of each rule, with its place; rules of another trigger are left out.
 
-    The join is a nested loop over the rule list, in blocks if it is long.
+    A list of up to LITERALS rules is part of the plan; the join with a longer one is a nested loop, in blocks.
     """
     chosen = rules if trigger is None else rules.where(F.col("trigger").isNull() | (F.col("trigger") == trigger))
-    joined = by_blocks(docs, chosen, F.rlike(F.col(column), F.col("pattern")), "id")
-    values, gaps = F.regexp_extract_all(F.col(column), F.col("pattern"), F.lit(0)), F.split(F.col(column), F.col("pattern"), -1)
-    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("v")))
-    start = F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))")
-    places = F.aggregate(sizes, start, lambda s, x: F.struct((s["at"] + x["g"] + x["v"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out")), lambda s: s["out"])
-    return joined.select(key, "id", "severity", "description", F.col("replacement").alias("suggestion"), F.explode(places).alias("location"))
+    fields = ("id", "severity", "description", "replacement")
+    held = chosen.select(*fields, "pattern").limit(LITERALS + 1).collect()
+    if len(held) > LITERALS:
+        joined = by_blocks(docs, chosen, F.rlike(F.col(column), F.col("pattern")), "id").withColumn("places", _places(F.col(column), F.col("pattern")))
+        found = joined.select(key, *fields, "places")
+    else:
+        none = F.expr("cast(array() as array<int>)")
+        texts = F.col(column)
+        every = [F.struct(*(F.lit(r[c]).cast("string").alias(c) for c in fields), F.when(texts.rlike(r.pattern), _places(texts, F.lit(r.pattern))).otherwise(none).alias("places")) for r in held]
+        if not every:
+            every = [F.struct(*(F.lit(None).cast("string").alias(c) for c in fields), none.alias("places"))]
+        found = docs.select(key, F.explode(F.array(*every)).alias("f")).select(key, "f.*")
+    return found.select(key, "id", "severity", "description", F.col("replacement").alias("suggestion"), F.explode("places").alias("location"))
 
 
 def verdict(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -104,18 +128,31 @@ def verdict(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFr
     return out.select(key, (F.col("n_errors") == 0).alias("valid"), "n_errors", "n_warnings")
 
 
+def _compiles(pattern: str, replacement: str) -> bool:
+    """Whether the engine that will run it takes the pattern and the replacement."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    try:
+        spark.range(1).select(F.regexp_replace(F.concat(F.lit("a"), F.col("id").cast("string")), pattern, replacement)).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 def auto_fix(text: Column, rules: list[dict]) -> Column:
-    """The rules' replacements in order; \\1 in a replacement is a group. A rule without one changes nothing."""
+    """The rules' replacements in order; \\1 in a replacement is a group.
+
+    A rule without a replacement, or with a pattern that the engine doesn't take, changes nothing.
+    """
     import re
 
     for r in rules:
-        if r.get("replacement") is None:
-            continue
-        try:
-            re.compile(r["pattern"])
-        except re.error:
-            continue
-        text = F.regexp_replace(text, r["pattern"], re.sub(r"\\(\d)", r"$\1", r["replacement"].replace("$", "\\$")))
+        if r.get("replacement") is not None:
+            put = re.sub(r"\\(\d)", r"$\1", r["replacement"].replace("$", "\\$"))
+            if _compiles(r["pattern"], put):
+                text = F.regexp_replace(text, r["pattern"], put)
     return text
 
 

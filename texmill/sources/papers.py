@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from texmill.functions.text import paper_id
+from texmill.sources.scratch import stored
 
 # Names of main files, best first.
 MAIN_NAMES = ("main.tex", "paper.tex", "arxiv.tex", "ms.tex", "article.tex")
 FILES = "paper_id string, path string, size long, content string"
-DEPTH = 32
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,17 +92,22 @@ def include_edges(files: DataFrame) -> DataFrame:
     return asked.join(there, ["paper_id", "parent", "ord"], "left")
 
 
-def include_closure(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """paper_id, path, depth of every file that a root reaches; a circle ends by itself."""
-    edges.createOrReplaceTempView("_texmill_edges")
-    roots.createOrReplaceTempView("_texmill_roots")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE reach(paper_id, path, depth) AS (
-          SELECT paper_id, path, 0 FROM _texmill_roots
-          UNION ALL
-          SELECT e.paper_id, e.child, r.depth + 1 FROM reach r JOIN _texmill_edges e ON e.paper_id = r.paper_id AND e.parent = r.path
-          WHERE e.child IS NOT NULL AND r.depth < {depth})
-        SELECT paper_id, path, min(depth) AS depth FROM reach GROUP BY paper_id, path""")
+def include_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """paper_id, path, depth (the least) of every file that a root reaches.
+
+    Breadth first: each round takes the edges of the files found last and keeps what no round has seen, so circles
+    end by themselves, however often they are asked for, and there are as many rounds as files nest.
+    """
+    steps = stored(edges.where("child is not null").select("paper_id", "parent", "child").distinct(), "include_edges")
+    last = stored(roots.select("paper_id", "path").distinct().withColumn("depth", F.lit(0)), "include_roots")
+    seen, depth = last, 0
+    while True:
+        depth += 1
+        found = last.join(steps, (last.paper_id == steps.paper_id) & (last.path == steps.parent)).select(last.paper_id, F.col("child").alias("path")).distinct()
+        last = stored(found.join(seen, ["paper_id", "path"], "left_anti").withColumn("depth", F.lit(depth)), "include_round")
+        if last.isEmpty():
+            return seen
+        seen = seen.unionByName(last)
 
 
 def flattened(files: DataFrame, mains: DataFrame) -> DataFrame:
