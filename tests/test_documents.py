@@ -186,9 +186,148 @@ def test_settings(tmp_path):
     assert [r["id"] for r in settings.rule_list(str(tmp_path / "r.json"))] == ["a"]
 
 
-def test_fonts(spark):
-    got = settings.pick_fonts(spark.createDataFrame([("Noto Sans CJK SC",), ("Arial",)], "family string")).first()
-    assert (got.main, got.sans, got.mono) == ("Noto Sans CJK SC",) * 3
+@pytest.mark.parametrize(
+    "families, want",
+    [
+        (["Noto Sans CJK SC", "Arial"], ("Noto Serif CJK SC", "Noto Sans CJK SC", "Noto Sans Mono CJK SC")),  # no group has a main font
+        (["SimSun", "SimHei", "Noto Sans CJK SC", "FangSong"], ("SimSun", "SimHei", "FangSong")),  # all from one group
+        (["source han serif sc bold", "FandolSong"], ("source han serif sc bold",) * 3),
+        (["FandolSong", "FandolHei"], ("FandolSong", "FandolHei", "FandolHei")),
+        ([], ("Noto Serif CJK SC", "Noto Sans CJK SC", "Noto Sans Mono CJK SC")),
+    ],
+)
+def test_fonts(spark, families, want):
+    assert tuple(settings.pick_fonts(spark.createDataFrame([(f,) for f in families], "family string")).first()) == want
+
+
+def test_includes_in_circles_end(spark):
+    """Two files that ask for each other twice, a chain of 60 files, and a file that several reach."""
+    edges = [("p", "a", "b"), ("p", "a", "b"), ("p", "b", "a"), ("p", "b", "a"), ("p", "b", "c"), ("p", "a", "c"), ("p", "a", None)] + [("q", f"f{i}", f"f{i + 1}") for i in range(60)]
+    got = papers.include_closure(spark.createDataFrame(edges, "paper_id string, parent string, child string"), spark.createDataFrame([("p", "a"), ("q", "f55"), ("r", "alone")], "paper_id string, path string"))
+    assert {tuple(r) for r in got.collect()} == {("p", "a", 0), ("p", "b", 1), ("p", "c", 1), ("r", "alone", 0)} | {("q", f"f{55 + i}", i) for i in range(6)}
+
+
+def test_replies_are_kept_as_waves_finish(spark, tmp_path):
+    """A run that breaks off leaves its replies; the next asks only for the rest; chunks keep their order."""
+    from texmill.plans import translate
+
+    rows = [("d", k, f"c{k}", f"text {k} " + "x" * 400) for k in range(9)]
+    table = spark.createDataFrame(rows, "doc_id string, ord int, chunk_id string, content string")
+    state = str(tmp_path / "state")
+    whole, calls = translate.providers.complete, []
+
+    def breaks(requests, *a, **k):
+        n = requests.count()
+        if sum(calls) + n > 6:
+            raise RuntimeError("killed")
+        calls.append(n)
+        return whole(requests, *a, **k)
+
+    options = translate.Options(state=state, work=str(tmp_path / "work"), wave=2, tries=1)
+    translate.providers.complete = breaks
+    try:
+        with pytest.raises(RuntimeError):
+            translate.translate_chunks(table, options=options)
+        kept = spark.read.parquet(f"{state}.replies").where("reply is not null").count()
+        assert kept == sum(calls) > 0
+        first, calls[:] = kept, []
+        translate.providers.complete = lambda requests, *a, **k: calls.append(requests.count()) or whole(requests, *a, **k)
+        got = translate.translate_chunks(table, options=options).orderBy("ord").collect()
+    finally:
+        translate.providers.complete = whole
+    assert first + sum(calls) == 9 and [r.chunk_id for r in got] == [f"c{k}" for k in range(9)] and not any(r.skipped for r in got)
+
+
+def test_the_bound_on_calls_is_one_for_all_tasks(spark):
+    requests = spark.createDataFrame([(str(k), [{"role": "user", "content": str(k)}]) for k in range(40)], "request_id string, messages array<struct<role:string,content:string>>").repartition(20)
+    got = providers.complete(requests, providers.Offline(), concurrency=3)
+    assert got.count() == 40 and got.rdd.getNumPartitions() <= 3
+
+
+def test_contexts_are_made_once_and_given_up(monkeypatch):
+    sent = []
+
+    def send(self, url, body):
+        sent.append(url.rsplit("example", 1)[1])
+        if "context/chat" in url and body["context_id"] == "gone":
+            raise RuntimeError("no such context")
+        return {"id": "made"} if url.endswith("create") else {"choices": [{"message": {"content": " ok "}}], "usage": {"total_tokens": 1}}
+
+    monkeypatch.setattr(providers.Http, "_send", send)
+    p = providers.provider("ark", model="m", url="http://example/chat/completions")
+    asked = [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]
+    assert p._post(asked).text == p._post(asked).text == "ok"
+    assert sent == ["/context/create", "/context/chat/completions", "/context/chat/completions"]
+    contexts, key = p._contexts(), next(iter(p._contexts().held))
+    contexts.held[key] = ("gone", contexts.held[key][1])
+    assert p._post(asked).text == "ok" and sent[3:] == ["/context/chat/completions", "/context/create", "/context/chat/completions"]
+    contexts.make = lambda prompt: "gone"
+    contexts.drop(key)
+    sent.clear()
+    assert p._post(asked).text == "ok" and sent == ["/context/chat/completions"] * 2 + ["/chat/completions"]
+
+
+def test_translated_documents_as_files(spark, tmp_path):
+    from texmill.plans.translate import Options, translate_documents
+
+    given = spark.createDataFrame([("d", TEX), ("e", TEX.replace("long", "very long"))], "doc_id string, tex string")
+    tables = translate_documents(given, options=Options(work=str(tmp_path / "work")))
+    made = {r.doc_id: r.tex for r in tables["documents"].collect()}
+    assert all("xeCJK" in t for t in made.values())
+    rebuild.written(tables["documents"], str(tmp_path / "tex"))
+    for i, t in made.items():
+        held = "".join(p.read_text() for p in (tmp_path / "tex" / f"doc_id={i}").glob("part-*"))
+        assert held == t + "\n"
+    meta = tables["meta"].first()
+    assert meta.total_chunks == tables["results"].count() and meta.total_seconds >= 0
+    assert tables["last_calls"].groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def test_experiment(spark):
+    from texmill.plans.experiment import temperature_experiment
+
+    out = temperature_experiment(spark, providers.Offline(), "say it", [0.0, 0.5, 1.0], repeats=3)
+    assert out["responses"].count() == 9 and {r.unique_texts for r in out["metrics"].collect()} == {1}
+    assert out["effect"].first().verdict == "IGNORED"
+
+
+def test_counts_failures_and_tallies(spark):
+    from texmill.operators import analytics
+
+    calls = spark.createDataFrame([("a", True, 1.0), ("a", False, 9.0), ("b", True, 2.0), ("z", True, 4.0)], "model string, ok boolean, seconds double")
+    assert [tuple(r) for r in analytics.counts_in_order(calls, ["b", "none", "a"]).collect()] == [(0, "b", 1, 0), (1, "none", 0, 0), (2, "a", 1, 1)]
+    assert tuple(analytics.tally(calls).first()) == (4, 3, 1, 2.3333)
+    reports = spark.createDataFrame([("2", False, "bad"), ("1", None, None), ("3", True, None)], "paper_id string, parsed boolean, error string")
+    assert [tuple(r) for r in analytics.parse_failures(reports).collect()] == [("1", "unknown"), ("2", "bad")]
+    values = [1e12, *range(500), 3.0, 3.0, -7.5]
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double")
+    for nth in (1, 5, 6, 7, 250, len(values)):
+        assert analytics.nth_smallest(rows, "x", lambda n, nth=nth: nth, slots=8, few=3).first().value == sorted(values)[nth - 1]
+    assert analytics.nth_smallest(rows.limit(0), "x", lambda n: 1).count() == 0
+
+
+def test_long_and_short_lists_find_the_same(spark, monkeypatch):
+    from texmill.operators import glossary, validate
+
+    texts = spark.createDataFrame([(1, "The C++ and the lstm; LSTMs. \u0130x"), (2, None), (3, ""), (4, "a  b 12345 |")], "doc_id long, text string")
+    terms = spark.createDataFrame([(k, t, t.upper(), None, None, 0, None) for k, t in enumerate(("the", "C++", "LSTM", "and the", "zzz"))], glossary.COLUMNS)
+    rules = spark.createDataFrame([(k, f"r{k}", "d", "error", p, None, None) for k, p in enumerate(("  +", "[0-9]{5,}", "[|]", "(?i)the"))], "ord int, id string, description string, severity string, pattern string, replacement string, trigger string")
+    short = sorted(map(repr, glossary.hits(texts, terms).collect())), sorted(map(repr, validate.rule_findings(texts, rules).collect()))
+    monkeypatch.setattr(glossary, "LITERALS", 0)
+    monkeypatch.setattr(validate, "LITERALS", 0)
+    assert short == (sorted(map(repr, glossary.hits(texts, terms).collect())), sorted(map(repr, validate.rule_findings(texts, rules).collect())))
+    assert len(short[0]) == 4 and len(short[1]) == 5
+    assert [r.term for r in glossary.get(terms, "C++").collect()] == ["C++"] and glossary.get(terms, "c++").isEmpty()
+
+
+def test_files_beside_a_document(tmp_path):
+    from texmill.operators import compiling
+
+    compiling.place(str(tmp_path / "in"), {"fig/a.png": b"1", "../out.txt": b"2", "/abs.txt": b"3", ".hidden": b"4", "b/.git/x": b"5", "refs.bbl": b"6"})
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["in/fig/a.png", "in/refs.bbl"]
+    compiling.settle_bibliography(str(tmp_path / "in"))
+    assert (tmp_path / "in" / "main.bbl").read_bytes() == b"6"
+    assert isinstance(compiling.installed_fonts(), list)
 
 
 def test_stream(spark, tmp_path):

@@ -25,22 +25,34 @@ def _provider(s: dict) -> providers.Provider:
 
 
 def translate(a, s) -> int:
+    from texmill.operators.compiling import compiled, installed_fonts
+    from texmill.operators.rebuild import written
     from texmill.plans.translate import Options, translate_documents
     from texmill.sources import papers
+    from texmill.sources.state import save_report
 
-    spark = _session()
+    spark, beside = _session(), None
     if a.source.endswith(".tex"):
         docs = spark.createDataFrame([(Path(a.source).stem, Path(a.source).read_text(encoding="utf-8"))], "doc_id string, tex string")
     else:
         files = papers.extracted(papers.archives(spark, a.source))
         docs = papers.flattened(files, papers.main_files(files)).withColumnRenamed("paper_id", "doc_id")
+        beside = papers.members(papers.archives(spark, a.source)).withColumnRenamed("paper_id", "doc_id")
     terms = settings.load_glossary(spark, None, a.glossary) if a.glossary else None
     t = s["translation"]
     examples = [r.asDict() for r in settings.load_examples(spark, t["examples_path"]).select("source", "target").collect()]
-    options = Options(_provider(s), t["batch_short_threshold"], t["batch_max_chars"], a.concurrency, style=t["custom_system_prompt"], examples=examples, state=f"{a.output}/state", work=f"{a.output}/work")
+    given = s["fonts"]
+    fonts = settings.pick_fonts(spark.createDataFrame([(n,) for n in installed_fonts()], "family string")).first() if given["auto_detect"] else {}
+    cjk = tuple(given[k] or (fonts[k] if fonts else settings.FONT_GROUPS[0][k][0]) for k in ("main", "sans", "mono"))
+    options = Options(_provider(s), t["batch_short_threshold"], t["batch_max_chars"], a.concurrency, style=t["custom_system_prompt"], examples=examples, state=f"{a.output}/state", work=f"{a.output}/work", cjk=cjk, protected=tuple(s["parser"]["extra_protected_environments"]))
     tables = translate_documents(docs, terms, options)
-    for name in ("documents", "issues", "findings", "verdicts"):
+    for name in ("documents", "issues", "findings", "verdicts", "last_calls"):
         tables[name].write.mode("overwrite").parquet(f"{a.output}/{name}")
+    save_report(tables["meta"], f"{a.output}/meta")
+    written(tables["documents"], f"{a.output}/tex")
+    if a.pdf:
+        out = compiled(tables["documents"], beside, s["compilation"]["timeout"])
+        out.write.mode("overwrite").parquet(f"{a.output}/pdf")
     tables["verdicts"].show(truncate=False)
     return 0
 
@@ -67,6 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--output", default="output")
     t.add_argument("--glossary")
     t.add_argument("--concurrency", type=int, default=50)
+    t.add_argument("--pdf", action="store_true", help="compile the documents where a TeX engine is installed")
     for flag in ("sdk", "model", "endpoint"):
         t.add_argument(f"--{flag}")
     t.set_defaults(run=translate)

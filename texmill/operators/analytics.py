@@ -102,7 +102,7 @@ def mean_overlap(texts: DataFrame, group: str, order: str, column: str = "text")
 def temperature_effect(groups: DataFrame) -> DataFrame:
     """corr and verdict over groups (temperature, exact_match_ratio)."""
     diversity_of = 1 - F.col("exact_match_ratio")
-    r = F.corr("temperature", diversity_of)
+    r = F.try_divide(F.covar_pop("temperature", diversity_of), F.stddev_pop("temperature") * F.stddev_pop(diversity_of))  # null where nothing varies
     stats = groups.agg(
         F.count("*").alias("n"),
         F.when(F.count("*") > 2, F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))).otherwise(0.0).alias("r"),

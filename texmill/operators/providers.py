@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import asyncio
 import json
+import threading
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -88,23 +89,88 @@ class Http(Provider):
             messages = [{"role": m["role"], "content": [{"type": "text", "text": m["content"], "cache_control": {"type": "ephemeral"}}]} if m["role"] == "system" else m for m in messages]
         return base | {"messages": messages}
 
-    def _post(self, messages: list[dict]) -> Reply:
+    def _send(self, url: str, body: dict) -> dict:
         import os
 
         if not self.url:
             raise RuntimeError("this provider needs an endpoint")
         key = os.environ.get(self.key_variable, "") if self.key_variable else ""
         headers = {"Content-Type": "application/json"} | ({"x-api-key": key, "anthropic-version": "2023-06-01"} if self.shape == "anthropic" else {"Authorization": f"Bearer {key}"} if key else {})
-        request = urllib.request.Request(self.url, json.dumps(self.body(messages)).encode(), headers)
+        request = urllib.request.Request(url, json.dumps(body).encode(), headers)
         with urllib.request.urlopen(request, timeout=self.timeout) as r:
-            answer = json.load(r)
+            return json.load(r)
+
+    def _reply(self, answer: dict) -> Reply:
         text = "".join(b.get("text", "") for b in answer["content"]) if self.shape == "anthropic" else answer["choices"][0]["message"]["content"]
         return Reply(text.strip(), answer.get("usage"))
 
+    def _post(self, messages: list[dict]) -> Reply:
+        return self._reply(self._send(self.url, self.body(messages)))
+
     async def complete(self, messages: list[dict]) -> Reply:
         return await asyncio.to_thread(self._post, messages)
 
 
+class VariantContexts:
+    """Remote prompt contexts by variant that a worker holds for `ttl` seconds and makes anew after a failure."""
+
+    def __init__(self, make: Callable[[str], str], ttl: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.make, self.ttl, self.clock, self.lock = make, ttl, clock, threading.Lock()
+        self.held: dict[str, tuple[str, float]] = {}
+
+    def get(self, variant: str) -> tuple[str, bool]:
+        """(context id, whether it was held); one caller at a time, so that a context is made once."""
+        with self.lock:
+            at = self.held.get(variant)
+            if at and self.clock() - at[1] < self.ttl:
+                return at[0], True
+            made = self.make(variant)
+            self.held[variant] = (made, self.clock())
+            return made, False
+
+    def drop(self, variant: str) -> None:
+        with self.lock:
+            self.held.pop(variant, None)
+
+
+#: Contexts that this worker holds, by endpoint, model and key variable.
+_CONTEXTS: dict[tuple, VariantContexts] = {}
+
+
+@dataclass(frozen=True)
+class Contextual(Http):
+    """Http, with the prompt (all messages but the last) kept by the endpoint as a context that requests refer to.
+
+    A context lives `ttl` seconds in a worker; one that is refused is made anew once; where none can be made, or the
+    request fails again, the whole conversation goes the ordinary way.
+    """
+
+    name: str = "ark"
+    context_url: str = ""
+    ttl: float = 300.0
+
+    def _contexts(self) -> VariantContexts:
+        key = (self.url, self.context_url, self.model, self.key_variable)
+        if key not in _CONTEXTS:
+            made = lambda prompt: self._send(self._at("/context/create"), {"model": self.model, "messages": json.loads(prompt), "mode": "common_prefix", "ttl": int(self.ttl)})["id"]
+            _CONTEXTS[key] = VariantContexts(made, self.ttl)
+        return _CONTEXTS[key]
+
+    def _at(self, route: str) -> str:
+        return (self.context_url or self.url.removesuffix("/chat/completions")) + route
+
+    def _post(self, messages: list[dict]) -> Reply:
+        prompt, last = json.dumps(messages[:-1]), messages[-1:]
+        for _ in range(2 if len(messages) > 1 else 0):
+            try:
+                context, _held = self._contexts().get(prompt)
+                answer = self._send(self._at("/context/chat/completions"), {"model": self.model, "context_id": context, "messages": last, "temperature": self.temperature, "max_tokens": self.max_tokens})
+                return self._reply(answer)
+            except Exception:  # noqa: BLE001  any refusal: the context may be gone, or contexts may not be known there
+                self._contexts().drop(prompt)
+        return super()._post(messages)
+
+
 _MAKERS: dict[str, Callable[..., Provider]] = {
     "offline": Offline,
     "http": Http,
@@ -112,7 +178,7 @@ _MAKERS: dict[str, Callable[..., Provider]] = {
     "openai-coding": lambda **k: Http(name="openai-coding", stateful=True, **k),
     "anthropic": lambda **k: Http(name="anthropic", shape="anthropic", cache_blocks=True, **k),
     "anthropic-coding": lambda **k: Http(name="anthropic-coding", shape="anthropic", cache_blocks=True, stateful=True, **k),
-    "ark": lambda **k: Http(name="ark", **k),
+    "ark": lambda **k: Contextual(name="ark", **k),
     "bailian": lambda **k: Http(name="bailian", cache_blocks=True, **k),
 }
 
@@ -124,26 +190,6 @@ def provider(name: str, **options) -> Provider:
     return _MAKERS[name](**options)
 
 
-class VariantContexts:
-    """Remote prompt contexts by variant that a worker holds for `ttl` seconds and makes anew after a failure."""
-
-    def __init__(self, make: Callable[[str], str], ttl: float = 300.0, clock: Callable[[], float] = time.monotonic):
-        self.make, self.ttl, self.clock = make, ttl, clock
-        self.held: dict[str, tuple[str, float]] = {}
-
-    def get(self, variant: str) -> tuple[str, bool]:
-        """(context id, whether it was held)."""
-        at = self.held.get(variant)
-        if at and self.clock() - at[1] < self.ttl:
-            return at[0], True
-        made = self.make(variant)
-        self.held[variant] = (made, self.clock())
-        return made, False
-
-    def drop(self, variant: str) -> None:
-        self.held.pop(variant, None)
-
-
 def usage_meta(usage: Column, name: str) -> Column:
     """A provider's usage JSON as a struct; a positive number of cached tokens is a hit; null usage stays null."""
     pick = lambda *paths: F.coalesce(*(F.get_json_object(usage, f"$.{p}").try_cast("long") for p in paths), F.lit(0).cast("long"))
@@ -186,17 +232,21 @@ async def call(p: Provider, messages: list[dict], tries: int, per_call: float, b
     return None, said, tries
 
 
-def complete(requests: DataFrame, p: Provider, concurrency: int = 50, tries: int = 5, per_call: float = 150.0, base_delay: float = 1.0) -> DataFrame:
+def complete(requests: DataFrame, p: Provider, concurrency: int = 50, tries: int = 5, per_call: float = 150.0, base_delay: float = 1.0, tasks: int = 8) -> DataFrame:
     """request_id, reply, usage (JSON), error, tries of every request (request_id, messages).
 
-    Each partition runs at most `concurrency` calls at once. The first call of a partition goes alone, so that a
+    The requests are spread over at most `tasks` tasks, which share the `concurrency` calls that may be open at once,
+    so that is the bound over the whole cluster. The first call of a partition goes alone, so that a
     prompt cache is warm before the rest. The stage is not deterministic in Spark's sense; store its result before it
     is used twice, and keep speculation off, or calls are paid for again.
     """
 
+    tasks = max(1, min(tasks, concurrency))
+    each = max(1, concurrency // tasks)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         async def all_of(frame: pd.DataFrame, first: bool) -> list:
-            gate = asyncio.Semaphore(concurrency)
+            gate = asyncio.Semaphore(each)
 
             async def one(messages) -> tuple:
                 async with gate:
@@ -221,7 +271,7 @@ def complete(requests: DataFrame, p: Provider, concurrency: int = 50, tries: int
                 }
             )
 
-    return requests.select("request_id", "messages").mapInPandas(run, "request_id string, reply string, usage string, error string, tries int")
+    return requests.select("request_id", "messages").repartition(tasks).mapInPandas(run, "request_id string, reply string, usage string, error string, tries int")
 
 
 def complete_in_order(units: DataFrame, p: Provider, group: str = "doc_id", order: str = "ord", tries: int = 5, per_call: float = 150.0, base_delay: float = 1.0) -> DataFrame:

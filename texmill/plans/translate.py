@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime
+import logging
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from texmill.functions import text as fn
 from texmill.operators import batching, glossary, integrity, parse, prompts, providers, rebuild, validate
+from texmill.sources.scratch import fresh_path, stored
 
-RESULT = "chunk_id string, doc_id string, source string, translation string, batched boolean, skipped boolean, skip_reason string, usage string, source_soft long, source_paragraph long, decoded_soft long, decoded_paragraph long"
+RESULT = "chunk_id string, doc_id string, source string, translation string, batched boolean, skipped boolean, skip_reason string, usage string, source_soft long, source_paragraph long, decoded_soft long, decoded_paragraph long, ord long"
+REPLIES = "key string, reply string, usage string, error string, tries int"
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -19,39 +24,41 @@ class Options:
     provider: providers.Provider = field(default_factory=providers.Offline)
     short: int = batching.SHORT
     batch_chars: int = batching.BATCH_CHARS
-    concurrency: int = 50
+    concurrency: int = 50  # calls at once, over all tasks
+    wave: int = 2000  # requests between two writes of replies: a run that is killed loses at most those
     tries: int = 5
     per_call: float = 150.0
     base_delay: float = 1.0
     style: str | None = None
+    protected: tuple[str, ...] = ()  # environments to protect besides the known ones
     examples: list[dict] = field(default_factory=list)
-    state: str | None = None  # folder of results that are never asked for again
+    state: str | None = None  # folder of results that are never asked for again; replies are kept in the folder of that name and .replies
     work: str | None = None  # folder for results of the calls; else beside the checkpoints
+    cjk: tuple[str, str, str] | None = ("Noto Serif CJK SC", "Noto Sans CJK SC", "Noto Sans Mono CJK SC")  # fonts to put in; None: none
 
 
-def _folder(df: DataFrame, options: Options) -> str:
-    base = options.work or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/texmill-work"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def _stored(df: DataFrame, options: Options) -> DataFrame:
+    """Calls are paid for: what they need and give is written before anything branches from it."""
+    return stored(df, "translate", options.work)
 
 
-def _stored(df: DataFrame, options: Options) -> DataFrame:
-    """Calls are paid for: their results are written before anything branches from them."""
-    path = _folder(df, options)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _held(spark, path: str | None, schema: str) -> DataFrame | None:
+    """The table that a folder holds, or None where there is no folder yet."""
+    if not path:
+        return None
+    try:
+        table = spark.read.schema(schema).parquet(path)
+        table.schema  # noqa: B018  looks the folder up
+        return table
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+            raise
+        return None
 
 
 def results(spark, path: str | None) -> DataFrame | None:
     """Results that a state folder holds, or None."""
-    if not path:
-        return None
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(RESULT).parquet(path) if there else None
+    return _held(spark, path, RESULT)
 
 
 def _examples(options: Options):
@@ -61,9 +68,9 @@ def _examples(options: Options):
 
 
 def translate_chunks(chunks: DataFrame, terms: DataFrame | None = None, abstracts: DataFrame | None = None, options: Options | None = None) -> DataFrame:
-    """Results of all chunks (doc_id, ord, chunk_id, content): one row each, in RESULT's columns.
+    """Results of all chunks (doc_id, ord, chunk_id, content): one row each, in RESULT's columns; ord restores their order.
 
-    Chunks with a stored result are not asked for again. A chunk that is one placeholder is its own translation;
+    Replies are written as waves of requests finish, and one that was given is never asked for again. Chunks with a stored result are not asked for again. A chunk that is one placeholder is its own translation;
     short ones go in numbered batches, long ones alone; a batch with a bad reply goes again chunk by chunk; what
     still fails keeps its source and says why.
     """
@@ -117,10 +124,11 @@ def translate_chunks(chunks: DataFrame, terms: DataFrame | None = None, abstract
         source["paragraph"].alias("source_paragraph"),
         target["soft"].alias("decoded_soft"),
         target["paragraph"].alias("decoded_paragraph"),
+        F.col("ord").cast("long").alias("ord"),
     )
     through = todo.where("way = 'placeholder'").selectExpr(
         "chunk_id", "doc_id", "content as source", "content as translation", "false as batched", "false as skipped", "cast(null as string) as skip_reason", "cast(null as string) as usage",
-        "0L as source_soft", "0L as source_paragraph", "0L as decoded_soft", "0L as decoded_paragraph",
+        "0L as source_soft", "0L as source_paragraph", "0L as decoded_soft", "0L as decoded_paragraph", "cast(ord as bigint) as ord",
     )
     new = _stored(asked.unionByName(through), options)
     if options.state:
@@ -131,21 +139,47 @@ def translate_chunks(chunks: DataFrame, terms: DataFrame | None = None, abstract
 
 
 def _ask(requests: DataFrame, known: DataFrame, options: Options) -> DataFrame:
-    """Replies to requests (doc_id, request_id, ord, user), stored."""
+    """Replies to requests (doc_id, request_id, ord, user), in waves; those that the state holds are not asked for.
+
+    A reply belongs to all that was asked: provider, model, prompts and text (and, of a stateful provider, the unit).
+    """
+    spark, p = requests.sparkSession, options.provider
     chosen = F.when(F.col("request_id").startswith("b:"), F.col("in_batch")).otherwise(F.col("alone"))
     ready = requests.join(known, "doc_id").withColumn("system", chosen)
+    asked = prompts.messages(F.col("system"), _examples(options), F.col("user"))
+    unit = [F.col("request_id")] if p.stateful else []
+    key = F.sha2(F.to_json(F.struct(F.lit(p.name).alias("p"), F.lit(p.model).alias("m"), asked.alias("x"), *unit)), 256)
+    ready = _stored(ready.select("doc_id", "request_id", "ord", "system", "user", asked.alias("messages"), key.alias("key")), options)
+    folder = f"{options.state.rstrip('/')}.replies" if options.state else fresh_path(spark, "replies", options.work)
+    held = _held(spark, folder, REPLIES)
+    todo = ready if held is None else ready.join(held.where("reply is not null").select("key").distinct(), "key", "left_anti")
+    todo = todo if p.stateful else todo.dropDuplicates(["key"])
+    n = todo.count()
+    waves = -(-n // options.wave)
+    todo = _stored(todo.withColumn("wave", F.pmod(F.xxhash64("doc_id" if p.stateful else "key"), F.lit(max(1, waves)))), options)
     limits = {"tries": options.tries, "per_call": options.per_call, "base_delay": options.base_delay}
-    if options.provider.stateful:
-        return _stored(providers.complete_in_order(ready.select("doc_id", "ord", "request_id", "system", "user"), options.provider, **limits), options)
-    asked = ready.select("request_id", prompts.messages(F.col("system"), _examples(options), F.col("user")).alias("messages"))
-    return _stored(providers.complete(asked, options.provider, options.concurrency, **limits), options)
+    for w in range(waves):
+        wave = todo.where(F.col("wave") == w)
+        if p.stateful:
+            replies = providers.complete_in_order(wave.select("doc_id", "ord", F.col("key").alias("request_id"), "system", "user"), p, **limits)
+        else:
+            replies = providers.complete(wave.select(F.col("key").alias("request_id"), "messages"), p, options.concurrency, **limits)
+        replies.withColumnRenamed("request_id", "key").write.mode("append").parquet(folder)
+        log.info("wave %d of %d is answered", w + 1, waves)
+    got = _held(spark, folder, REPLIES) if n or held is not None else spark.createDataFrame([], REPLIES)
+    best = got.groupBy("key").agg(F.max_by(F.struct("reply", "usage", "error", "tries"), F.struct(F.col("reply").isNotNull(), "tries")).alias("r"))
+    return _stored(ready.select("request_id", "key").join(best, "key").select("request_id", "r.*"), options)
 
 
 def translate_documents(docs: DataFrame, terms: DataFrame | None = None, options: Options | None = None, key: str = "doc_id", column: str = "tex") -> dict[str, DataFrame]:
-    """Tables of a translation of docs: parsed, results, issues, documents, findings, verdicts."""
-    options = options or Options()
+    """Tables of a translation of docs: parsed, results, issues, documents, findings, verdicts, meta, last_calls.
+
+    Fonts for CJK go into the preamble before parsing, unless options.cjk is None.
+    """
+    options, started = options or Options(), datetime.datetime.now(datetime.UTC)
     named = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(column).alias("tex"))
-    parsed = _stored(parse.parse(named), options)
+    source = named if options.cjk is None else named.withColumn("tex", fn.inject_cjk(fn.remove_comments(fn.unify_line_ends(F.col("tex"))), *options.cjk))
+    parsed = _stored(parse.parse(source, options.protected), options)
     chunks = parsed.where("kind = 'chunk' and context <> 'protected'").select("doc_id", "ord", F.col("id").alias("chunk_id"), "content")
     abstracts = named.select("doc_id", fn.abstract(F.col("tex")).alias("abstract"))
     found = translate_chunks(chunks, terms, abstracts, options)
@@ -158,7 +192,10 @@ def translate_documents(docs: DataFrame, terms: DataFrame | None = None, options
     braces = validate.chunk_brace_findings(fixed.join(lines, "chunk_id", "left").select("doc_id", "chunk_id", "source", "translation", "start_line").withColumn("both", F.struct("doc_id", "chunk_id")), "both")
     findings = texts.unionByName(braces.select("both.doc_id", F.lit("chunk_braces").alias("check"), F.lit("error").alias("severity"), F.concat_ws(" ", F.lit("Line"), "line", F.lit("expected"), "expected", F.lit("got"), "got").alias("message")))
     issues = fixed.select("chunk_id", F.explode("issues").alias("i")).select("chunk_id", "i.*")
-    return {"parsed": parsed, "results": found, "issues": issues, "documents": made, "findings": findings, "verdicts": validate.verdict(named, findings)}
+    meta = run_meta(found, options.provider.model, started, datetime.datetime.now(datetime.UTC))
+    calls = found.where("usage is not null").select("doc_id", "ord", providers.usage_meta(F.col("usage"), options.provider.name).alias("u")).select("doc_id", "ord", "u.*")
+    last = latest_per(calls, "doc_id", "ord")
+    return {"parsed": parsed, "results": found, "issues": issues, "documents": made, "findings": findings, "verdicts": validate.verdict(named, findings), "meta": meta, "last_calls": last}
 
 
 def run_meta(found: DataFrame, model: str, started, finished) -> DataFrame:

@@ -62,6 +62,17 @@ def extracted(found: DataFrame) -> DataFrame:
     return found.select("paper_id", "content").mapInPandas(run, "paper_id string, archive_kind string, path string, size long, content string")
 
 
+def members(found: DataFrame) -> DataFrame:
+    """paper_id, path, data of every file in archives(), as bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, path, data) for p, raw in zip(frame.paper_id, frame.content, strict=True) for path, data in _members(bytes(raw))[1]]
+            yield pd.DataFrame(rows, columns=["paper_id", "path", "data"])
+
+    return found.select("paper_id", "content").mapInPandas(run, "paper_id string, path string, data binary")
+
+
 def main_files(files: DataFrame, names: tuple[str, ...] = MAIN_NAMES, whole: bool = False) -> DataFrame:
     """paper_id, path, method: a file of a main name (best first), else the first with a document class, else the largest.
 
@@ -171,12 +182,6 @@ def wait_before(last: float | None, now: float, gap: float = 3.0) -> float:
     return 0.0 if last is None else max(0.0, gap - (now - last))
 
 
-def rejected(ids: DataFrame, column: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(rows with paper_id, rows without one)."""
-    named = ids.withColumn("paper_id", paper_id(F.col(column)))
-    return named.where("paper_id is not null"), named.where("paper_id is null").drop("paper_id")
-
-
 def fetch(ids: list[str], folder: str, gap: float = 3.0, opener=None) -> list[str]:
     """Download source archives that the cache folder lacks, one by one and at least `gap` seconds apart.
 

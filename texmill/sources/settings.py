@@ -21,12 +21,14 @@ DEFAULTS: dict = {
     "translation": {"custom_system_prompt": None, "examples_path": None, "batch_short_threshold": 300, "batch_max_chars": 2000},
     "parser": {"extra_protected_environments": []},
 }
-#: Font families by role, best first; a family fits if its name holds one of these.
-FONT_CHOICES = {
-    "main": ("noto serif cjk sc", "source han serif", "songti", "simsun", "ming"),
-    "sans": ("noto sans cjk sc", "source han sans", "pingfang", "simhei", "hei"),
-    "mono": ("noto sans mono cjk sc", "source han mono", "fangsong"),
-}
+# Font families in groups that fit together, best first.
+FONT_GROUPS = (
+    {"main": ["Noto Serif CJK SC", "Noto Serif CJK"], "sans": ["Noto Sans CJK SC", "Noto Sans CJK"], "mono": ["Noto Sans Mono CJK SC", "Noto Sans Mono CJK"]},
+    {"main": ["Source Han Serif SC", "Source Han Serif"], "sans": ["Source Han Sans SC", "Source Han Sans"], "mono": ["Source Han Sans HW SC", "Source Han Sans HW"]},
+    {"main": ["Songti SC", "STSong"], "sans": ["PingFang SC", "STHeiti"], "mono": ["STFangsong"]},
+    {"main": ["SimSun", "SongTi"], "sans": ["SimHei", "Microsoft YaHei"], "mono": ["FangSong", "KaiTi"]},
+    {"main": ["FandolSong"], "sans": ["FandolHei"], "mono": ["FandolKai"]},
+)
 EXAMPLES = [{"source": "We train the model for ten epochs.", "target": "[translated] We train the model for ten epochs."}]
 RULES = "ord int, id string, description string, severity string, pattern string, replacement string, trigger string"
 
@@ -133,14 +135,18 @@ def load_rules(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def pick_fonts(fonts: DataFrame) -> DataFrame:
-    """main, sans, mono: the best installed family of each role; sans stands in for main and mono, the first choice for none."""
-    rows = [(role, k, name) for role, names in FONT_CHOICES.items() for k, name in enumerate(names)]
-    spark = fonts.sparkSession
-    wanted = spark.createDataFrame(rows, "role string, rank int, wanted string")  # a fixed list
-    low = F.lower("family")
-    best = fonts.join(F.broadcast(wanted), F.contains(low, F.col("wanted"))).groupBy("role").agg(F.min_by("family", F.struct("rank", "family")).alias("family"))
-    row = best.groupBy().pivot("role", ["main", "sans", "mono"]).agg(F.first("family"))
-    first = lambda role: F.lit(FONT_CHOICES[role][0])
-    return row.select(F.coalesce("main", "sans", first("main")).alias("main"), F.coalesce("sans", "main", first("sans")).alias("sans"), F.coalesce("mono", "sans", first("mono")).alias("mono"))
-
-
+    """main, sans, mono of installed fonts (family): all from the first group that has a main font.
+
+    A family fits a name that it holds in any case; earlier names win, then the first family by name. Sans falls back
+    on main and mono on sans; without any group the names of the first one stand.
+    """
+    rows = [(g, role, k, name.lower()) for g, of in enumerate(FONT_GROUPS) for role, names in of.items() for k, name in enumerate(names)]
+    wanted = fonts.sparkSession.createDataFrame(rows, "g int, role string, rank int, wanted string")  # a fixed list
+    best = fonts.join(F.broadcast(wanted), F.contains(F.lower("family"), F.col("wanted"))).groupBy("g", "role").agg(F.min_by("family", F.struct("rank", "family")).alias("family"))
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("family")))
+    groups = best.groupBy("g").agg(of("main").alias("main"), of("sans").alias("sans"), of("mono").alias("mono")).where("main is not null")
+    chosen = groups.agg(F.min_by(F.struct("main", "sans", "mono"), "g").alias("x")).select("x.*")
+    first = {role: names[0] for role, names in FONT_GROUPS[0].items()}
+    sans = F.coalesce("sans", "main")
+    found = F.col("main").isNotNull()
+    return chosen.select(F.coalesce("main", F.lit(first["main"])).alias("main"), F.when(found, sans).otherwise(first["sans"]).alias("sans"), F.when(found, F.coalesce("mono", sans)).otherwise(first["mono"]).alias("mono"))
