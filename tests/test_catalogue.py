@@ -47,14 +47,6 @@ def test_entry_module():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_brace_counts_of_all_documents(spark, engine):
-    """The SQL of brace_counts without its filter."""
-    sql = catalogue.oracle_sql()["brace_counts"].removesuffix(" WHERE doc_id % 7 > 2")
-    df, other = catalogue.queries()["brace_counts_all"](spark, DATA), engine.sql(sql)
-    got = rows(df.columns, df.collect())
-    assert got == rows(list(other.columns), other.fetchall()) and any(closes != opens for closes, _, opens in got)
-
-
 def digest(text):
     return hashlib.md5(text.encode()).hexdigest()
 
@@ -76,9 +68,9 @@ def odd(tmp_path_factory):
 def test_escapes_and_places_of_all_texts(spark, odd):
     at, texts, _, tex = odd
     want = ["a \\% b \\& c \\# d", "x \\% y \\& z \\% w \\\\ \\#", texts[2], "[[MATH_1]] \\& [[a % b]] \\# [ \\%", "cost $5 \\cite{k} and $ \\% gone $", ""]
-    assert sorted(map(tuple, catalogue.queries()["escape_specials_all"](spark, at).collect())) == [(i, digest(t)) for i, t in enumerate(want)]
+    assert sorted(map(tuple, catalogue.queries()["escape_specials"](spark, at).collect())) == [(i, digest(t)) for i, t in enumerate(want)]
     places = [(i, t[: t.index("See ")].count("\n") + 1, len(t[: t.index("See ")].split("\n")[-1]) + 1) for i, t in tex]
-    assert sorted(map(tuple, catalogue.queries()["line_and_column_all"](spark, at).collect())) == sorted(places)
+    assert sorted(map(tuple, catalogue.queries()["line_and_column"](spark, at).collect())) == sorted(places)
 
 
 def test_replies_of_all_turns(spark, odd):
@@ -90,11 +82,11 @@ def test_replies_of_all_turns(spark, odd):
         reply = "\n".join(f"[{i}] {text}" for i, (_, text) in enumerate(of, 1)) + ("\n[99] more" if c % 4 == 3 else "")
         if [int(n) for n in re.findall(r"\[(\d+)\]", reply)] == list(range(1, len(of) + 1)):
             want += [(c, t, digest(text.strip())) for t, text in of]
-    assert sorted(map(tuple, catalogue.queries()["batch_reply_parse_all"](spark, at).collect())) == want and len(want) == 3
+    assert sorted(map(tuple, catalogue.queries()["batch_reply_parse"](spark, at).collect())) == want and len(want) == 3
 
 
 def test_stored_placeholders_of_all_documents(spark, odd):
-    got = {(int(r.doc_id), r.kind): r.n for r in catalogue.queries()["stored_placeholders_all"](spark, odd[0]).collect()}
+    got = {(int(r.doc_id), r.kind): r.n for r in catalogue.queries()["stored_placeholders"](spark, odd[0]).collect()}
     assert [got.get((0, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [1, 1, 1, 1]
     assert [got.get((2, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [3, 1, 1, 1]
     assert [got.get((4, k)) for k in ("MATH", "CITE", "REF", "LABEL")] == [2, 1, 1, 1]  # the cite of the text is inside the math
@@ -129,8 +121,8 @@ def test_brackets_of_whole_documents(spark, engine):
                 if opener + c not in ("{}", "[]"):
                     wrong.append((doc, pos, c, "mismatched"))
         wrong += [(doc, *x, "unmatched opener") for x in stack]
-    assert sorted(map(tuple, catalogue.queries()["brace_match_pairs_all"](spark, DATA).collect())) == sorted(pairs)
-    assert sorted(map(tuple, catalogue.queries()["brace_balance_all"](spark, DATA).collect())) == sorted(wrong)
+    assert sorted(map(tuple, catalogue.queries()["brace_match_pairs"](spark, DATA).collect())) == sorted(pairs)
+    assert sorted(map(tuple, catalogue.queries()["brace_balance"](spark, DATA).collect())) == sorted(wrong)
     assert {x[3] for x in wrong} == {"unmatched closer", "unmatched opener"}
 
 
@@ -150,9 +142,9 @@ def test_brace_structure_of_whole_pairs(spark, engine):
             if x[0] != y[0]:
                 want.append((doc, i, x[0], y[0], x[1], y[1]))
                 break
-    assert sorted(map(tuple, catalogue.queries()["brace_structure_mismatch_all"](spark, DATA).collect())) == sorted(want) and want
+    assert sorted(map(tuple, catalogue.queries()["brace_structure_mismatch"](spark, DATA).collect())) == sorted(want) and want
 
 
 def test_inline_math_of_whole_documents(spark, odd):
-    got = {int(r.doc_id): r.n for r in catalogue.queries()["inline_math_spans_all"](spark, odd[0]).collect()}
+    got = {int(r.doc_id): r.n for r in catalogue.queries()["inline_math_spans"](spark, odd[0]).collect()}
     assert got == {0: 1, 1: 1, 2: 3, 3: 1, 4: 2, 5: 1}

@@ -116,11 +116,11 @@ def member_classes(spark, sf_dir):
     return analytics.histogram(fx.made(spark, sf_dir, fx.FILES).select(fn.member_class(F.col("path")).alias("kind")), "kind")
 
 
-@query("SELECT 'Noto Sans CJK SC' AS main, 'Noto Sans CJK SC' AS sans, 'FangSong' AS mono")
+@query("SELECT 'SimSun' AS main, 'SimHei' AS sans, 'FangSong' AS mono")
 def font_choice(spark, sf_dir):
     from texmill.sources.settings import pick_fonts
 
-    return pick_fonts(spark.range(1).select(F.explode(F.array(*map(F.lit, ("Arial", "Noto Sans CJK SC", "SimHei", "FangSong")))).alias("family")))
+    return pick_fonts(spark.range(1).select(F.explode(F.array(*map(F.lit, ("Arial", "Noto Sans CJK SC", "SimSun", "SimHei", "FangSong")))).alias("family")))
 
 
 # Text functions
@@ -160,8 +160,11 @@ def config_values(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", fn.config_value(raw).alias("v")).select("page_id", "v.kind", "v.value")
 
 
-@query(f"""WITH t AS ({fx.TEX}), l AS (SELECT doc_id, list_transform(string_split(tex, chr(10)), lambda x: {{'line': x, 'cut': CASE WHEN left(ltrim(x), 1) = '%' THEN NULL ELSE rtrim(regexp_replace(regexp_replace(x, '^%.*$', ''), '([^' || repeat({B}, 2) || '])%.*$', concat({B}, '1'))) END}}) AS ls FROM t)
-  SELECT doc_id, md5(array_to_string(list_transform(list_filter(ls, lambda x: x.cut IS NOT NULL AND (trim(x.cut) <> '' OR trim(x.line) = '')), lambda x: x.cut), chr(10))) AS digest FROM l""")
+_CLEANED = f"""t AS ({fx.TEX}), l AS (SELECT doc_id, list_transform(string_split(tex, chr(10)), lambda x: {{'line': x, 'cut': CASE WHEN left(ltrim(x), 1) = '%' THEN NULL ELSE rtrim(regexp_replace(regexp_replace(x, '^%.*$', ''), '([^' || repeat({B}, 2) || '])%.*$', concat({B}, '1'))) END}}) AS ls FROM t),
+  cleaned AS (SELECT doc_id, array_to_string(list_transform(list_filter(ls, lambda x: x.cut IS NOT NULL AND (trim(x.cut) <> '' OR trim(x.line) = '')), lambda x: x.cut), chr(10)) AS clean FROM l)"""
+
+
+@query(f"WITH {_CLEANED} SELECT doc_id, md5(clean) AS digest FROM cleaned")
 def strip_comments(spark, sf_dir):
     return _tex(spark, sf_dir).select("doc_id", F.md5(fn.remove_comments(F.col("tex"))).alias("digest"))
 
@@ -184,15 +187,12 @@ def cjk_support(spark, sf_dir):
     return _tex(spark, sf_dir).select("doc_id", F.md5(fn.inject_cjk(F.col("tex"))).alias("digest"))
 
 
-@query(f"SELECT doc_id, md5(replace(replace(replace(text, '%', concat({B}, '%')), '&', concat({B}, '&')), '#', concat({B}, '#'))) AS digest FROM documents WHERE text IS NOT NULL AND NOT contains(text, {B})")
-def escape_specials(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\\")))
-    return docs.select("doc_id", F.md5(fn.escape_specials(F.col("text"))).alias("digest"))
+#: A sign that has no backslash before it gets one; twice, since a match takes the sign before it along.
+_ESCAPED = lambda x: f"regexp_replace({x}, '(^|[^' || {B} || {B} || '])([%&#])', {B} || '1' || {B} || {B} || {B} || '2', 'g')"
 
 
-@query()
-def escape_specials_all(spark, sf_dir):
-    """escape_specials of every text, with backslashes or without."""
+@query(f"SELECT doc_id, md5({_ESCAPED(_ESCAPED('text'))}) AS digest FROM documents WHERE text IS NOT NULL")
+def escape_specials(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(fn.escape_specials(F.col("text"))).alias("digest"))
 
 
@@ -226,14 +226,9 @@ def structural_lines(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count_if(fn.structural_line(F.col("x"))).alias("structural"))
 
 
-@query(f"""WITH t AS ({fx.TEX}) SELECT doc_id, CAST(length(left(tex, CAST(instr(tex, 'See ') - 1 AS INTEGER))) - length(replace(left(tex, CAST(instr(tex, 'See ') - 1 AS INTEGER)), chr(10), '')) + 1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS col FROM t WHERE instr(replace(tex, concat(chr(10), 'See '), ''), 'See ') = 0""")
+@query(f"""WITH t AS (SELECT doc_id, left(tex, CAST(instr(tex, 'See ') - 1 AS INTEGER)) AS b FROM ({fx.TEX}) x)
+  SELECT doc_id, CAST(len(string_split(b, chr(10))) AS BIGINT) AS line, CAST(length(list_last(string_split(b, chr(10)))) + 1 AS BIGINT) AS col FROM t""")
 def line_and_column(spark, sf_dir):
-    place = fn.line_and_column(F.col("tex"), (F.instr("tex", "See ") - 1).cast("int"))
-    return _tex(spark, sf_dir).where(F.instr(F.replace("tex", F.lit("\nSee "), F.lit("")), "See ") == 0).select("doc_id", place.alias("p")).select("doc_id", "p.*")
-
-
-@query()
-def line_and_column_all(spark, sf_dir):
     """Place of the first 'See ' of every document."""
     place = fn.line_and_column(F.col("tex"), (F.instr("tex", "See ") - 1).cast("int"))
     return _tex(spark, sf_dir).select("doc_id", place.alias("p")).select("doc_id", "p.*")
@@ -243,28 +238,29 @@ def line_and_column_all(spark, sf_dir):
 
 
 @query(f"""WITH t AS ({fx.TEX}), s AS (SELECT doc_id, regexp_replace(regexp_replace(tex, {B} || {B} || '[{{}}' || {B} || {B} || ']', '__', 'g'), {B} || {B} || '[a-zA-Z]*', '', 'g') AS x FROM t)
-  SELECT doc_id, CAST(length(x) - length(replace(x, '{{', '')) AS BIGINT) AS opens, CAST(length(x) - length(replace(x, '}}', '')) AS BIGINT) AS closes FROM s WHERE doc_id % 7 > 2""")
+  SELECT doc_id, CAST(length(x) - length(replace(x, '{{', '')) AS BIGINT) AS opens, CAST(length(x) - length(replace(x, '}}', '')) AS BIGINT) AS closes FROM s""")
 def brace_counts(spark, sf_dir):
-    """Openers and closers that count, on documents that were not damaged."""
-    found = brackets.brackets(_tex(spark, sf_dir).where("doc_id % 7 > 2"), column="tex")
-    return found.groupBy("doc_id").agg(F.count_if(F.col("bracket") == "{").alias("opens"), F.count_if(F.col("bracket") == "}").alias("closes"))
-
-
-@query()
-def brace_counts_all(spark, sf_dir):
     """Openers and closers that count, on every document."""
     found = brackets.brackets(_tex(spark, sf_dir), column="tex")
     return found.groupBy("doc_id").agg(F.count_if(F.col("bracket") == "{").alias("opens"), F.count_if(F.col("bracket") == "}").alias("closes"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, concat('{{a', repeat('{{b}}', CAST(doc_id % 4 AS INTEGER)), CASE WHEN doc_id % 3 = 0 THEN '}}}}' WHEN doc_id % 3 = 1 THEN '' ELSE ']' END) AS x FROM documents),
-  k AS (SELECT doc_id, unnest(range(1, length(x) + 1)) AS i, x FROM t), b AS (SELECT doc_id, i - 1 AS pos, substring(x, CAST(i AS INTEGER), 1) AS c FROM k WHERE substring(x, CAST(i AS INTEGER), 1) IN ('{{', '}}', '[', ']'))
-  SELECT doc_id, CAST(pos AS BIGINT) AS pos, c AS bracket, CASE WHEN doc_id % 3 = 0 THEN 'unmatched closer' WHEN doc_id % 3 = 1 THEN 'unmatched opener' ELSE 'mismatched' END AS problem FROM b
-  WHERE (doc_id % 3 = 0 AND pos = (SELECT max(pos) FROM b b2 WHERE b2.doc_id = b.doc_id)) OR (doc_id % 3 = 1 AND pos = 0) OR (doc_id % 3 = 2 AND c = ']')""")
+_BRACKETS = f"""x AS (SELECT doc_id, regexp_extract_all(tex, {B} || {B} || '[{{}}' || {B} || {B} || ']|' || {B} || {B} || {B} || 'p{{L}}*|[{{}}' || {B} || '[' || {B} || ']]|[^' || {B} || {B} || '{{}}' || {B} || '[' || {B} || ']]+') AS l FROM ({fx.TEX}) t),
+  y AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM x), z AS (SELECT doc_id, c, CAST(sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) - length(c) AS BIGINT) AS pos FROM y),
+  b AS (SELECT doc_id, c, pos, c IN ('{{', '[') AS opens FROM z WHERE c IN ('{{', '}}', '[', ']')),
+  d AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM b),
+  m AS (SELECT *, least(0, min(s) OVER (PARTITION BY doc_id ORDER BY pos)) AS low FROM d),
+  w AS (SELECT *, NOT opens AND low < coalesce(lag(low) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS stray FROM m),
+  k AS (SELECT *, CASE WHEN stray THEN -1 WHEN opens THEN s - low ELSE s - low + 1 END AS level FROM w),
+  p AS (SELECT *, CASE WHEN opens THEN lead(pos) OVER (PARTITION BY doc_id, level ORDER BY pos) END AS close FROM k)"""
+
+
+@query(f"""WITH {_BRACKETS}
+  SELECT doc_id, pos, c AS bracket, 'unmatched closer' AS problem FROM p WHERE stray UNION ALL SELECT doc_id, pos, c, 'unmatched opener' FROM p WHERE opens AND close IS NULL
+  UNION ALL SELECT q.doc_id, q.pos, q.c, 'mismatched' FROM p JOIN p q ON q.doc_id = p.doc_id AND q.pos = p.close WHERE concat(p.c, q.c) NOT IN ('{{}}', '[]')""")
 def brace_balance(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    tail = F.when(F.col("doc_id") % 3 == 0, "}}").when(F.col("doc_id") % 3 == 1, "").otherwise("]")
-    return brackets.unbalanced(docs.select("doc_id", F.concat(F.lit("{a"), F.repeat(F.lit("{b}"), (F.col("doc_id") % 4).cast("int")), tail).alias("text")))
+    """Brackets in error of every document."""
+    return brackets.unbalanced(_tex(spark, sf_dir), column="tex")
 
 
 @query(f"""WITH t AS ({fx.TEX}) SELECT doc_id, 'abstract' AS env, CAST(instr(tex, concat({B}, 'begin{{abstract}}')) - 1 AS BIGINT) AS first, CAST(instr(tex, concat({B}, 'end{{abstract}}')) + 13 AS BIGINT) AS stop FROM t""")
@@ -272,44 +268,28 @@ def environment_spans(spark, sf_dir):
     return brackets.environments(_tex(spark, sf_dir), ["abstract", "align*", "verbatim"], column="tex")
 
 
-@query(f"""WITH p AS (SELECT doc_id, concat('{{A}}', repeat('x', CAST(doc_id % 5 AS INTEGER)), '{{C}}') AS s, doc_id % 3 AS k FROM documents)
-  SELECT doc_id, CAST(CASE k WHEN 1 THEN 2 WHEN 2 THEN CASE WHEN doc_id % 5 = 0 THEN 6 ELSE 7 END END AS BIGINT) AS index, CASE k WHEN 1 THEN '}}' WHEN 2 THEN '<EOF>' END AS expected, CASE k WHEN 1 THEN '{{' WHEN 2 THEN '}}' END AS got,
-  CAST(CASE k WHEN 1 THEN 2 WHEN 2 THEN length(s) END AS BIGINT) AS source_off, CAST(CASE k WHEN 1 THEN 2 WHEN 2 THEN length(s) END AS BIGINT) AS translated_off FROM p WHERE k > 0""")
-def brace_structure_mismatch(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    s = F.concat(F.lit("{A}"), F.repeat(F.lit("x"), (F.col("doc_id") % 5).cast("int")), F.lit("{C}"))
-    t = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("{A{"), F.substr(s, F.lit(4)))).when(F.col("doc_id") % 3 == 2, F.concat(s, F.lit("}"))).otherwise(s)
-    return docs.select("doc_id", validate.first_brace_mismatch(s, t).alias("m")).where("m is not null").select("doc_id", "m.*")
-
-
-@query("""WITH t AS (SELECT doc_id, concat('{', repeat('{b}', CAST(doc_id % 4 AS INTEGER)), '}') AS x FROM documents)
-  SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(length(x) - 1 AS BIGINT) AS close FROM t UNION ALL SELECT doc_id, CAST(1 + 3 * k AS BIGINT), CAST(3 + 3 * k AS BIGINT) FROM (SELECT doc_id, unnest(range(0, doc_id % 4)) AS k FROM documents) y""")
-def brace_match_pairs(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("{"), F.repeat(F.lit("{b}"), (F.col("doc_id") % 4).cast("int")), F.lit("}")).alias("text"))
-    found = brackets.matched(brackets.brackets(docs), F.col("bracket").isin("{", "["), ["doc_id"])
-    return found.where("close is not null").select("doc_id", "pos", F.col("close").cast("long").alias("close"))
+_TOKENS = lambda c: f"regexp_extract_all({c}, '(?s)(?:[^{{}}' || {B} || {B} || ']+|' || {B} || {B} || '(?:.|$))+|[{{}}]')"
 
 
-@query()
-def brace_balance_all(spark, sf_dir):
-    """Brackets in error of every document."""
-    return brackets.unbalanced(_tex(spark, sf_dir), column="tex")
+@query(f"""WITH t AS ({fx.PAIRS}), l AS (SELECT doc_id, length(original) AS n, {_TOKENS('original')} AS l FROM t), r AS (SELECT doc_id, length(translated) AS n, {_TOKENS('translated')} AS l FROM t),
+  a AS (SELECT doc_id, n, i, CASE WHEN c IN ('{{', '}}') THEN c ELSE 'T' END AS kind, sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) - length(c) AS off FROM (SELECT doc_id, n, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM l) x),
+  b AS (SELECT doc_id, n, i, CASE WHEN c IN ('{{', '}}') THEN c ELSE 'T' END AS kind, sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) - length(c) AS off FROM (SELECT doc_id, n, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM r) x),
+  j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.i, b.i) AS i, coalesce(a.kind, '<EOF>') AS expected, coalesce(b.kind, '<EOF>') AS got, a.off AS ao, b.off AS bo FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.i = b.i),
+  f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM j WHERE expected <> got)
+  SELECT f.doc_id, CAST(f.i - 1 AS BIGINT) AS index, expected, got, CAST(coalesce(ao, l.n) AS BIGINT) AS source_off, CAST(coalesce(bo, r.n) AS BIGINT) AS translated_off FROM f JOIN l ON l.doc_id = f.doc_id JOIN r ON r.doc_id = f.doc_id WHERE f.r = 1""")
+def brace_structure_mismatch(spark, sf_dir):
+    """The first difference in brace structure of every pair of texts."""
+    pairs = fx.made(spark, sf_dir, fx.PAIRS)
+    return pairs.select("doc_id", validate.first_brace_mismatch(F.col("original"), F.col("translated")).alias("m")).where("m is not null").select("doc_id", "m.*")
 
 
-@query()
-def brace_match_pairs_all(spark, sf_dir):
+@query(f"WITH {_BRACKETS} SELECT doc_id, pos, close FROM p WHERE close IS NOT NULL")
+def brace_match_pairs(spark, sf_dir):
     """Openers with their closers of every document."""
     found = brackets.matched(brackets.brackets(_tex(spark, sf_dir), column="tex"), F.col("bracket").isin("{", "["), ["doc_id"])
     return found.where("close is not null").select("doc_id", "pos", F.col("close").cast("long").alias("close"))
 
 
-@query()
-def brace_structure_mismatch_all(spark, sf_dir):
-    """The first difference in brace structure of every pair of texts."""
-    pairs = fx.made(spark, sf_dir, fx.PAIRS)
-    return pairs.select("doc_id", validate.first_brace_mismatch(F.col("original"), F.col("translated")).alias("m")).where("m is not null").select("doc_id", "m.*")
-
-
 # Chunks, routing and batches
 
 
@@ -347,18 +327,10 @@ def batch_numbered_text(spark, sf_dir):
     return per.select("conv_id", F.md5(batching.numbered(F.col("x.text"))).alias("digest"))
 
 
-@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN bad THEN NULL ELSE md5(trim(text)) END AS digest FROM (SELECT *, conv_id % 4 = 3 AS bad FROM conversations WHERE text IS NOT NULL AND NOT contains(text, '[')) x WHERE NOT bad")
+@query(f"""WITH c AS (SELECT conv_id, conv_id % 4 = 3 OR bool_or(regexp_matches(text, {B} || '[[0-9]+' || {B} || ']')) AS bad FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)
+  SELECT t.conv_id, CAST(turn AS BIGINT) AS turn, md5(trim(trim(text, {BLANKS}))) AS digest FROM conversations t JOIN c ON c.conv_id = t.conv_id WHERE text IS NOT NULL AND NOT bad""")
 def batch_reply_parse(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("[")))
-    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    reply = F.concat(batching.numbered(F.col("x.text")), F.when(F.col("conv_id") % 4 == 3, "\n[99] more").otherwise(""))
-    parsed = per.select("conv_id", "x", batching.parse_reply(reply, F.size("x")).alias("said")).where("size(said) > 0")
-    return parsed.select("conv_id", F.explode(F.arrays_zip(F.col("x.turn").alias("turn"), "said")).alias("z")).select("conv_id", "z.turn", F.md5(F.trim("z.said")).alias("digest"))
-
-
-@query()
-def batch_reply_parse_all(spark, sf_dir):
-    """batch_reply_parse of every turn, with brackets or without."""
+    """Numbered replies made of every turn; a turn that holds a number in brackets makes its reply a bad one."""
     per = _table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
     reply = F.concat(batching.numbered(F.col("x.text")), F.when(F.col("conv_id") % 4 == 3, "\n[99] more").otherwise(""))
     parsed = per.select("conv_id", "x", batching.parse_reply(reply, F.size("x")).alias("said")).where("size(said) > 0")
@@ -396,21 +368,21 @@ def clean_lengths(spark, sf_dir):
     return fx.made(spark, sf_dir, fx.UNITS).select("chunk_id", fn.clean_length(F.col("source")).alias("clean"))
 
 
-@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(concat('a $x_', CAST(doc_id AS STRING), '$ b $$y$$ c ', CASE WHEN doc_id % 2 = 0 THEN '$z' ELSE '' END), '[$][$][^$]*[$][$]|[$][^$]*([$]|$)')) AS m FROM documents) t GROUP BY doc_id")
-def inline_math_spans(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    made = F.concat(F.lit("a $x_"), F.col("doc_id").cast("string"), F.lit("$ b $$y$$ c "), F.when(F.col("doc_id") % 2 == 0, "$z").otherwise(""))
-    spans = F.filter(F.regexp_extract_all(made, F.lit(r"(?s)\\\$|\$\$(?:\\\$|(?!\$\$).)*+(?:\$\$|\z)|\$(?:\\\$|[^$])*+(?:\$|\z)"), F.lit(0)), lambda m: (m != "\\$") & ~F.contains(m, F.lit("\n\n")))
-    return docs.select("doc_id", F.size(spans).cast("long").alias("n"))
-
-
 @query()
-def inline_math_spans_all(spark, sf_dir):
+def inline_math_spans(spark, sf_dir):
     """Dollar math that the parser takes out of every document."""
     rows = parse.parse(_tex(spark, sf_dir)).where("kind = 'placeholder' and context = 'MATH'")
     return rows.where(F.startswith("content", F.lit("$"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query(fx.CONSTRUCTS_SQL)
+def parsed_constructs(spark, sf_dir):
+    """What the parser makes of titles, authors, captions, graphics, environments, math, sections, lists, footnotes and paragraphs."""
+    rows = parse.parse(fx.made(spark, sf_dir, fx.CONSTRUCTS)).where("kind <> 'template'")
+    said = F.regexp_replace("content", fn.CHUNK_TOKEN, "{{CHUNK}}")
+    return rows.select("doc_id", "kind", "context", F.md5(said).alias("digest"))
+
+
 # Glossary
 
 
@@ -521,7 +493,19 @@ def length_ratio_check(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", F.when(ratio < validate.LEAST_RATIO, "short").when(ratio > validate.MOST_RATIO, "long").otherwise("fine").alias("ratio"))
 
 
-@query()
+_PAIR_LISTS = ", ".join(f"list_sort({_CMD(c, x)}) AS {n}" for c, x, n in (("cite", "original", "co"), ("cite", "translated", "ct"), ("ref", "original", "ro"), ("ref", "translated", "rt")))
+_DOLLARS = lambda x: f"length(replace({x}, concat({B}, '$'), '')) - length(replace(replace({x}, concat({B}, '$'), ''), '$', ''))"
+
+
+@query(f"""WITH p AS ({fx.PAIRS}), c AS (SELECT *, {_PAIR_LISTS}, {_DOLLARS('original')} AS o, {_DOLLARS('translated')} AS t, length(translated) / length(original) AS r FROM p),
+  f AS (SELECT *, list_filter(co, lambda x: NOT list_contains(ct, x)) AS lost, list_filter(ct, lambda x: NOT list_contains(co, x)) AS more, list_filter(ro, lambda x: NOT list_contains(rt, x)) AS refs FROM c)
+  SELECT doc_id, 'citations' AS "check", 'error' AS severity, concat('Missing citations: ', array_to_string(lost, ', ')) AS message FROM f WHERE len(lost) > 0
+  UNION ALL SELECT doc_id, 'citations', 'error', concat('Unexpected citations: ', array_to_string(more, ', ')) FROM f WHERE len(more) > 0
+  UNION ALL SELECT doc_id, 'references', 'error', concat('Missing references: ', array_to_string(refs, ', ')) FROM f WHERE len(refs) > 0
+  UNION ALL SELECT doc_id, 'math', 'error', 'Odd number of math delimiters' FROM f WHERE t % 2 = 1
+  UNION ALL SELECT doc_id, 'math', 'error', concat('Math delimiters differ: ', CAST(o AS STRING), ' and ', CAST(t AS STRING)) FROM f WHERE o <> t
+  UNION ALL SELECT doc_id, 'length', 'warning', 'Translation is very short' FROM f WHERE r < 0.2
+  UNION ALL SELECT doc_id, 'length', 'warning', 'Translation is very long' FROM f WHERE r > 1.5""")
 def pair_findings(spark, sf_dir):
     return validate.pair_findings(_pairs(spark, sf_dir))
 
@@ -540,6 +524,22 @@ def rule_findings(spark, sf_dir):
     return found.groupBy("doc_id", "id", "severity").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH r AS ({fx.RULES_SQL}), x AS (SELECT doc_id, id, regexp_extract_all(text, pattern) AS m, list_transform(string_split_regex(text, pattern), lambda g: length(g)) AS g FROM documents, r WHERE regexp_matches(text, pattern))
+  SELECT doc_id, id, unnest(list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(g[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS INTEGER))) AS location FROM x""")
+def rule_places(spark, sf_dir):
+    return validate.rule_findings(_table(spark, sf_dir, "documents"), _rules(spark)).select("doc_id", "id", "location")
+
+
+@query(f"""WITH d AS (SELECT doc_id, concat('{{', lang, ' ', text) AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND doc_id % 2 = 1)
+  SELECT doc_id, CAST(2 AS BIGINT) AS index, '}}' AS expected, '<EOF>' AS got, CAST(len(string_split(t, chr(10))) + doc_id % 50 AS BIGINT) AS line, CAST(length(list_last(string_split(t, chr(10)))) + 1 AS BIGINT) AS col FROM d""")
+def chunk_brace_places(spark, sf_dir):
+    """Chunks of every text in which the translation of odd documents has lost a brace."""
+    source = F.concat(F.lit("{"), "lang", F.lit("} "), "text")
+    lost = F.concat(F.lit("{"), "lang", F.lit(" "), "text")
+    chunks = _table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), F.when(F.col("doc_id") % 2 == 1, lost).otherwise(source).alias("translation"), (F.col("doc_id") % 50 + 1).alias("start_line"))
+    return validate.chunk_brace_findings(chunks, "doc_id").drop("snippet")
+
+
 @query(f"WITH f AS ({_FOUND}) SELECT d.doc_id, count(f.m) FILTER (WHERE severity = 'error') = 0 AS valid, count(f.m) FILTER (WHERE severity = 'error') AS n_errors, count(f.m) FILTER (WHERE severity = 'warning') AS n_warnings FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id")
 def rule_verdict(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -676,18 +676,8 @@ def chunk_start_lines(spark, sf_dir):
     return rows.where("kind = 'chunk' and context in ('title', 'section')").join(lines, ["doc_id", "id"]).select("doc_id", "context", F.col("line").cast("long").alias("line"))
 
 
-@query(f"WITH t AS ({fx.TEX}) SELECT CAST(doc_id AS STRING) AS doc_id, count(*) AS n FROM (SELECT doc_id, unnest(['cite', 'ref', 'label']) FROM t WHERE length(tex) - length(replace(tex, '$', '')) = 2) x GROUP BY doc_id")
-def stored_placeholders(spark, sf_dir):
-    """Command placeholders that a stored parser state lists, of documents whose text has no dollar."""
-    from texmill.sources.state import SCHEMA, parser_state
-
-    docs = _tex(spark, sf_dir).where(F.length("tex") - F.length(F.replace("tex", F.lit("$"), F.lit(""))) == 2)
-    held = parser_state(parse.parse(docs)).select("doc_id", F.explode(F.from_json("state", SCHEMA)["all_valid_placeholders"]).alias("p"))
-    return held.where(F.col("p").rlike("CITE|REF|LABEL")).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query()
-def stored_placeholders_all(spark, sf_dir):
+def stored_placeholders(spark, sf_dir):
     """Placeholders of all kinds that stored parser states list, of every document."""
     from texmill.sources.state import SCHEMA, parser_state
 
@@ -700,14 +690,11 @@ def parsed_documents(spark, sf_dir):
     return parse.parse(_tex(spark, sf_dir))
 
 
-@query(f"WITH t AS ({fx.TEX}) SELECT CAST(doc_id AS STRING) AS doc_id, true AS same FROM t")
+@query(f"""WITH {_CLEANED} SELECT CAST(doc_id AS STRING) AS doc_id, md5(regexp_replace(clean, '[' || {BLANKS} || ']+', ' ', 'g')) AS digest FROM cleaned""")
 def reconstruct_roundtrip(spark, sf_dir):
-    """Parsing and rebuilding without translations gives the text without comments again."""
-    docs = _tex(spark, sf_dir)
-    made = rebuild.rebuild(parse.parse(docs))
-    clean = docs.select(F.col("doc_id").cast("string").alias("doc_id"), fn.remove_comments(F.col("tex")).alias("clean"))
-    squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")  # noqa: E731  a section, list or title loses blanks at its ends
-    return made.join(clean, "doc_id").select("doc_id", (squeezed("tex") == squeezed("clean")).alias("same"))
+    """Parsing and rebuilding without translations gives the text without comments again, but for blanks at the ends of sections, lists and titles."""
+    made = rebuild.rebuild(parse.parse(_tex(spark, sf_dir)))
+    return made.select("doc_id", F.md5(F.regexp_replace("tex", r"[ \t\n\r\x0B\f]+", " ")).alias("digest"))
 
 
 @query()

@@ -25,6 +25,28 @@ PAIRS = f"""SELECT doc_id, tex AS original, CASE
   WHEN doc_id % 6 = 4 THEN replace(concat(tex, tex), concat({B}, 'ref{{'), concat({B}, 'other{{'))
   ELSE concat('T:', tex) END AS translated FROM ({TEX}) t"""
 
+_LINES = f"replace(replace(text, chr(13) || {N}, {N}), chr(13), {N})"
+_verbatim = lambda text: f"{B}, 'begin{{verbatim}}', {N}, {text}, {N}, {B}, 'caption{{not ', {ID}, '}}', {N}, {B}, 'end{{verbatim}}'"
+#: doc_id, tex: an article of every construct that the parser knows, with the text as a verbatim one.
+CONSTRUCTS = f"""SELECT doc_id, concat(
+  {B}, 'documentclass{{article}}', {N}, {B}, 'begin{{document}}', {N}, {B}, 'title{{T ', {ID}, '}}', {N}, {B}, 'author{{A ', {ID}, ' ', {B}, 'and {{B}}}}', {N},
+  {B}, 'begin{{figure}}', {N}, {B}, 'includegraphics[width=1cm]{{f', {ID}, '.png}}', {N}, {B}, 'caption[s]{{Cap {{', {ID}, '}} of ', source, '}}', {N}, {B}, 'captionof{{table}}{{Of ', {ID}, '}}', {N}, {B}, 'end{{figure}}', {N},
+  {_verbatim('text')}, {N},
+  {B}, 'begin{{equation}}x_{{', {ID}, '}}', {B}, 'end{{equation}}', {N}, {B}, 'begin{{itemize}}', {N}, {B}, 'item thing ', {ID}, ' of ', lang, {N}, {B}, 'end{{itemize}}', {N},
+  {B}, 'section{{S ', {ID}, '}}', {N}, 'Words of paragraph ', {ID}, ' that run on for long enough', {B}, 'footnote{{Note ', {ID}, ' here}}.', {N}, {N},
+  'Display ', {B}, '[ y_{{', {ID}, '}} ', {B}, '] and ', {B}, '( z ', {B}, ') and $m_{{', {ID}, '}}$ and line', {B}, {B}, '[2pt] end of it all.', {N}, {B}, 'end{{document}}') AS tex
+  FROM documents WHERE text IS NOT NULL"""
+#: doc_id, kind, context, digest of all chunks and placeholders of CONSTRUCTS.
+CONSTRUCTS_SQL = f"""SELECT {ID} AS doc_id, x.kind, x.context, md5(x.said) AS digest FROM (SELECT doc_id, unnest([
+  {{'kind': 'chunk', 'context': 'title', 'said': concat('T ', {ID})}}, {{'kind': 'placeholder', 'context': 'AUTHOR', 'said': concat({B}, 'author{{A ', {ID}, ' ', {B}, 'and {{B}}}}')}},
+  {{'kind': 'chunk', 'context': 'caption', 'said': concat('Cap {{', {ID}, '}} of ', source)}}, {{'kind': 'chunk', 'context': 'caption', 'said': concat('Of ', {ID})}},
+  {{'kind': 'placeholder', 'context': 'GRAPHICS', 'said': concat({B}, 'includegraphics[width=1cm]{{f', {ID}, '.png}}')}},
+  {{'kind': 'placeholder', 'context': 'ENV', 'said': concat({_verbatim(_LINES)})}}, {{'kind': 'placeholder', 'context': 'ENV', 'said': concat({B}, 'begin{{equation}}x_{{', {ID}, '}}', {B}, 'end{{equation}}')}},
+  {{'kind': 'placeholder', 'context': 'MATH', 'said': concat({B}, '[ y_{{', {ID}, '}} ', {B}, ']')}}, {{'kind': 'placeholder', 'context': 'MATH', 'said': concat({B}, '( z ', {B}, ')')}}, {{'kind': 'placeholder', 'context': 'MATH', 'said': concat('$m_{{', {ID}, '}}$')}},
+  {{'kind': 'chunk', 'context': 'itemize', 'said': concat({B}, 'item thing ', {ID}, ' of ', lang)}}, {{'kind': 'chunk', 'context': 'section', 'said': concat('S ', {ID})}}, {{'kind': 'chunk', 'context': 'footnote', 'said': concat('Note ', {ID}, ' here')}},
+  {{'kind': 'chunk', 'context': 'paragraph', 'said': concat('Words of paragraph ', {ID}, ' that run on for long enough', '{{{{CHUNK}}}}.')}},
+  {{'kind': 'chunk', 'context': 'paragraph', 'said': concat('Display [[MATH_5]] and [[MATH_6]] and [[MATH_4]] and line', {B}, {B}, '[2pt] end of it all.')}}]) AS x FROM documents WHERE text IS NOT NULL) y"""
+
 #: chunk_id, source, translation: units with placeholders that the translation keeps, misspells, invents or loses.
 UNITS = f"""SELECT doc_id AS chunk_id, concat('See [[MATH_', {ID}, ']] and [[CITE_', CAST(doc_id + 1 AS STRING), ']] in ', lang) AS source,
   CASE WHEN doc_id % 5 = 0 THEN concat('T: [[MTH_', {ID}, ']] [[CITE_', CAST(doc_id + 1 AS STRING), ']]')
