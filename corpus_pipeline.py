@@ -1,7 +1,12 @@
 """A corpus in stages: quality, near-duplicates, benchmark contamination, secrets, packing.
 
 Each stage takes what the one before kept, as documents; its decisions take effect. All but the last return the
-columns of documents.
+columns of documents, whatever these are called.
+
+Defined results: an empty table goes through all stages and gives no pieces. Null and blank texts have no quality and
+go in the first stage (in the others they stay: they are near no text, clean, and without secrets). Rows that agree in
+id and text count as one from near_dedup on; different texts under one id go or stay each by itself; rows of a null id
+are near no other and stay, and go by their text where that is contaminated. Very long texts are read whole by all.
 """
 
 from __future__ import annotations
@@ -18,17 +23,17 @@ from texmill.llm.secrets import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling: documents unlike the labelled good ones go."""
+    """Importance resampling: documents unlike the labelled good ones go; without labels of both kinds all with text stay."""
     return only_kept(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one of the smallest id."""
     return without_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold enough of the benchmark go."""
+    """Documents that hold enough of the benchmark go; an empty benchmark leaves all."""
     return without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 

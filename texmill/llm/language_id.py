@@ -8,7 +8,9 @@ of at most ``train_docs`` labelled documents, ``train_runs`` of each (documented
 unequal numbers of documents.
 
 Defined results: null text and text without a letter is `und` with score 0; equal texts get equal answers; without
-labelled documents all are `und`; a row of a null id is neither held out nor learnt from; texts of any length are read whole; other columns are ignored.
+labelled documents all are `und`; a row of a null id is neither held out nor learnt from; of repeated ids one row is
+learnt from, and each row has its prediction; an empty table gives an empty result; texts of any length are read whole;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -210,7 +212,8 @@ def fit(docs: DataFrame, train_docs: int = 6000, train_runs: int = 64, hidden: i
                     found.append([words[k * len(words) // min(train_runs, len(words))][:PIECE] for k in range(min(train_runs, len(words)))])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "lang", "runs"])
 
-    rows = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").transform(map_batches, draw, "doc_id long, lang string, runs array<binary>").collect()  # train_docs * train_runs pieces
+    rows = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").transform(map_batches, draw, "doc_id long, lang string, runs array<binary>")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("lang", "runs"), F.struct("lang", F.xxhash64("runs"))).alias("r")).select("doc_id", "r.*").collect()  # train_docs * train_runs pieces
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None

@@ -96,7 +96,7 @@ def bands_of(sets: list[np.ndarray], percent: int) -> list[tuple[int | None, lis
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set as two numbers, first (band), bands (keys; null for an empty set)."""
+    """doc_id, t (digest of the text), n (set size), digest of the set as two numbers, first (band), bands (keys; null for an empty set)."""
     words = None
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -105,9 +105,9 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
         sets = [shingle_set(t, words, width) for t in batch.column(1).to_pylist()]
         digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
         first, bands = zip(*bands_of(sets, percent), strict=True) if sets else ((), ())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(first, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "d0", "d1", "first", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(first, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t", "n", "d0", "d1", "first", "bands"])
 
-    return docs.select("doc_id", "text").transform(map_batches, per_batch(sketch), "doc_id long, n long, d0 long, d1 long, first int, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).transform(map_batches, per_batch(sketch), "doc_id long, t long, n long, d0 long, d1 long, first int, bands array<long>")
 
 
 def shingle_arrays(docs: DataFrame, width: int) -> DataFrame:
@@ -161,6 +161,11 @@ def _confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, of every document."""
+    return _grouped(docs, width, percent).drop("t")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates() with a digest of each text."""
     docs, work = docs.select("doc_id", "text"), Workspace(docs.sparkSession, "near_dedup")
     keep = work.keep
     sketched = keep(sketches(docs, width, percent), "sketches")
@@ -185,17 +190,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     if not more.isEmpty():
         found = connected_components(links.union(more), work)
 
-    named = sketched.select("doc_id", "n", "d0", "d1").join(classes, ["d0", "d1"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    named = sketched.select("doc_id", "t", "n", "d0", "d1").join(classes, ["d0", "d1"], "left").select("doc_id", "t", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     named = keep(named, "named").join(found.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     component = F.coalesce("component", "set_id", "doc_id")
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = named.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     return work.finish(out, "near_duplicates")
 
 
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The documents with one of each group of near-duplicates, and one of rows that repeat both id and text."""
-    gone = keep(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct(), "duplicates")
-    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents with one of each group of near-duplicates, and one of rows that repeat both id and text.
+
+    Of several texts under one id each goes or stays by itself; rows of a null id all stay.
+    """
+    gone = keep(_grouped(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")).distinct(), "duplicates")
+    rest = docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_t"]), "left_anti").select(docs.columns)
     again = keep(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "repeated_ids")
     if again.isEmpty():
         return rest

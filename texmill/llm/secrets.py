@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from texmill.functions.folds import before as _before
+from texmill.functions.folds import let as _let
 from texmill.llm._common import read
 
 DEPTH, TREES, TRAINING_ROWS = 7, 15, 5000
@@ -67,24 +69,6 @@ def _may_hold_one(text: Column) -> Column:
     return text.rlike("(?d)" + CANDIDATE)
 
 
-def _let(x: Column, of) -> Column:
-    """of(x), with x evaluated once."""
-    return F.get(F.transform(F.array(x), of), F.lit(0))
-
-
-def _before(sizes: Column, block: int = 64) -> Column:
-    """The sum of all elements before each, in blocks, so that no array grows with every element."""
-    start = F.expr("named_struct('out', cast(array() as array<bigint>), 'at', cast(0 as bigint))")
-    step = lambda s, x: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), (s["at"] + x).alias("at"))
-
-    def whole(sizes: Column) -> Column:
-        firsts = F.sequence(F.lit(1), F.size(sizes), F.lit(block))
-        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(sizes, i, F.lit(block)), start, step))
-        return _let(blocks, lambda b: F.flatten(F.zip_with(b, F.aggregate(b, start, lambda s, x: step(s, x["at"]))["out"], lambda x, o: F.transform(x["out"], lambda y: y + o))))
-
-    return _let(sizes, lambda s: F.when(F.size(s) > 0, whole(s)).otherwise(F.expr("cast(array() as array<bigint>)")))
-
-
 def _candidates(text: Column) -> Column:
     """array<struct<gap, lead, value, next>>: every candidate, the text before it, and the text after it, both up to the next one."""
     pattern = F.lit("(?d)" + CANDIDATE)
