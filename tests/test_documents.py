@@ -291,6 +291,22 @@ def test_experiment(spark):
     assert out["effect"].first().verdict == "IGNORED"
 
 
+def test_probe(spark):
+    from texmill.plans.experiment import concurrency_probe
+
+    out = concurrency_probe(spark, providers.Offline(fail_on="bad"), "a bad one", calls=7, concurrency=3)
+    assert tuple(out["tally"].first()) == (7, 0, 7, None)
+    out = concurrency_probe(spark, providers.Offline(), "fine", calls=7, concurrency=3)
+    assert tuple(out["tally"].first())[:3] == (7, 7, 0) and out["calls"].where("seconds < 0 or error is not null").isEmpty()
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "2301.00009.gz").write_bytes(gzip.compress(b"% caf\xe9"))
+    found = papers.archives(spark, str(tmp_path))
+    assert papers.extracted(found).first().content == "% caf\ufffd" and papers.extracted(found, strict=True).first().content is None
+    assert bytes(papers.members(found).first().data) == b"% caf\xe9"
+
+
 def test_counts_failures_and_tallies(spark):
     from texmill.operators import analytics
 

@@ -220,20 +220,21 @@ def kind_of(error: Exception) -> str:
     return "timeout" if isinstance(error, TimeoutError) else "rate_limit" if "429" in said or "rate limit" in said else "generic"
 
 
-async def call(p: Provider, messages: list[dict], tries: int, per_call: float, base: float) -> tuple[Reply | None, str | None, int]:
-    """(reply, error, tries used): retries with the wait that the kind of failure asks for; none after the last."""
+async def call(p: Provider, messages: list[dict], tries: int, per_call: float, base: float) -> tuple[Reply | None, str | None, int, float]:
+    """(reply, error, tries used, seconds): retries with the wait that the kind of failure asks for; none after the last."""
+    began, said = time.monotonic(), None
     for attempt in range(tries):
         try:
-            return await asyncio.wait_for(p.complete(messages), per_call), None, attempt + 1
+            return await asyncio.wait_for(p.complete(messages), per_call), None, attempt + 1, time.monotonic() - began
         except Exception as error:  # noqa: BLE001
             said = f"{type(error).__name__}: {error}"
             if attempt + 1 < tries:
                 await asyncio.sleep(wait_seconds(kind_of(error), attempt, base))
-    return None, said, tries
+    return None, said, tries, time.monotonic() - began
 
 
 def complete(requests: DataFrame, p: Provider, concurrency: int = 50, tries: int = 5, per_call: float = 150.0, base_delay: float = 1.0, tasks: int = 8) -> DataFrame:
-    """request_id, reply, usage (JSON), error, tries of every request (request_id, messages).
+    """request_id, reply, usage (JSON), error, tries, seconds of every request (request_id, messages).
 
     The requests are spread over at most `tasks` tasks, which share the `concurrency` calls that may be open at once,
     so that is the bound over the whole cluster. The first call of a partition goes alone, so that a
@@ -264,14 +265,15 @@ def complete(requests: DataFrame, p: Provider, concurrency: int = 50, tries: int
             yield pd.DataFrame(
                 {
                     "request_id": frame.request_id,
-                    "reply": [r.text.strip() if r else None for r, _, _ in done],
-                    "usage": [json.dumps(r.usage) if r and r.usage is not None else None for r, _, _ in done],
-                    "error": [e for _, e, _ in done],
-                    "tries": [n for _, _, n in done],
+                    "reply": [r.text.strip() if r else None for r, *_ in done],
+                    "usage": [json.dumps(r.usage) if r and r.usage is not None else None for r, *_ in done],
+                    "error": [e for _, e, *_ in done],
+                    "tries": [n for _, _, n, _ in done],
+                    "seconds": [s for *_, s in done],
                 }
             )
 
-    return requests.select("request_id", "messages").repartition(tasks).mapInPandas(run, "request_id string, reply string, usage string, error string, tries int")
+    return requests.select("request_id", "messages").repartition(tasks).mapInPandas(run, "request_id string, reply string, usage string, error string, tries int, seconds double")
 
 
 def complete_in_order(units: DataFrame, p: Provider, group: str = "doc_id", order: str = "ord", tries: int = 5, per_call: float = 150.0, base_delay: float = 1.0) -> DataFrame:
@@ -284,10 +286,10 @@ def complete_in_order(units: DataFrame, p: Provider, group: str = "doc_id", orde
         past, rows = [], []
         for r in frame.sort_values(order).itertuples():
             asked = {"role": "user", "content": r.user}
-            reply, error, n = asyncio.run(call(p, [{"role": "system", "content": r.system}, *past, asked], tries, per_call, base_delay))
+            reply, error, n, seconds = asyncio.run(call(p, [{"role": "system", "content": r.system}, *past, asked], tries, per_call, base_delay))
             if reply:
                 past += [asked, {"role": "assistant", "content": reply.text.strip()}]
-            rows.append((r.request_id, reply.text.strip() if reply else None, json.dumps(reply.usage) if reply and reply.usage is not None else None, error, n))
-        return pd.DataFrame(rows, columns=["request_id", "reply", "usage", "error", "tries"])
+            rows.append((r.request_id, reply.text.strip() if reply else None, json.dumps(reply.usage) if reply and reply.usage is not None else None, error, n, seconds))
+        return pd.DataFrame(rows, columns=["request_id", "reply", "usage", "error", "tries", "seconds"])
 
-    return units.groupBy(group).applyInPandas(run, "request_id string, reply string, usage string, error string, tries int")
+    return units.groupBy(group).applyInPandas(run, "request_id string, reply string, usage string, error string, tries int, seconds double")

@@ -164,7 +164,7 @@ def _ask(requests: DataFrame, known: DataFrame, options: Options) -> DataFrame:
             replies = providers.complete_in_order(wave.select("doc_id", "ord", F.col("key").alias("request_id"), "system", "user"), p, **limits)
         else:
             replies = providers.complete(wave.select(F.col("key").alias("request_id"), "messages"), p, options.concurrency, **limits)
-        replies.withColumnRenamed("request_id", "key").write.mode("append").parquet(folder)
+        replies.withColumnRenamed("request_id", "key").select("key", "reply", "usage", "error", "tries").write.mode("append").parquet(folder)
         log.info("wave %d of %d is answered", w + 1, waves)
     got = _held(spark, folder, REPLIES) if n or held is not None else spark.createDataFrame([], REPLIES)
     best = got.groupBy("key").agg(F.max_by(F.struct("reply", "usage", "error", "tries"), F.struct(F.col("reply").isNotNull(), "tries")).alias("r"))

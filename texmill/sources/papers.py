@@ -48,15 +48,24 @@ def _members(content: bytes) -> tuple[str, list[tuple[str, bytes]]]:
     return "unknown", []
 
 
-def extracted(found: DataFrame) -> DataFrame:
-    """paper_id, archive_kind, path, size, content of every file in archives(); names and bytes are decoded leniently."""
+def extracted(found: DataFrame, strict: bool = False) -> DataFrame:
+    """paper_id, archive_kind, path, size, content of every file in archives().
+
+    Bytes that are no UTF-8 become replacement characters; strict: such a file has no content.
+    """
+
+    def decoded(data: bytes) -> str | None:
+        try:
+            return data.decode("utf-8")
+        except UnicodeDecodeError:
+            return None if strict else data.decode("utf-8", "replace")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for p, raw in zip(frame.paper_id, frame.content, strict=True):
                 kind, files = _members(bytes(raw))
-                rows += [(p, kind, path, len(data), data.decode("utf-8", "replace")) for path, data in files]
+                rows += [(p, kind, path, len(data), decoded(data)) for path, data in files]
             yield pd.DataFrame(rows, columns=["paper_id", "archive_kind", "path", "size", "content"])
 
     return found.select("paper_id", "content").mapInPandas(run, "paper_id string, archive_kind string, path string, size long, content string")
