@@ -491,8 +491,41 @@ def held_out_findings():
     return good, bad
 
 
-def test_recall_and_precision_of_secrets_on_held_out_shapes(spark):
-    good, bad = held_out_findings()
+def unseen_findings():
+    """Shapes that were written down after the forest was settled, and have not changed it."""
+    rng = random.Random(4711)
+    letters, hexa, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "0123456789"
+    s = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    good, bad = [], []
+    for _ in range(25):
+        v = s(32)
+        good.append((f'{{"api-secret": "{v}", "zone": 3}}', v))
+        v = s(16)
+        good.append((f"ssh passphrase = {v}\nhost = x", v))
+        v = s(48, letters + "+/")
+        good.append((f"GET /v1 HTTP/1.1\nAuthorization: Bearer {v}\nAccept: */*", v))
+        v = s(40, hexa)
+        good.append((f"x-api-key: {v}", v))
+        v = s(40)
+        good.append((f"os.environ['ACCESS_KEY'] = '{v}'", v))
+        v = "xoxp-" + s(12, digits) + "-" + s(12, digits) + "-" + s(24)
+        good.append((f"we post with {v} there", v))
+        v = s(12) + "!"
+        good.append((f"user: anna\npassword: {v}\n", v))
+        v = s(24)
+        good.append((f"  credentials: {v}", v))
+        v = s(64, hexa)
+        good.append((f'"master_key":"{v}"', v))
+        bad += [f"oid sha256:{s(64, hexa)}\nsize {s(5, digits)}", f'ETag: W/"{s(40, hexa)}"', f"<script src=/static/main.{s(20, hexa)}.js>"]
+        bad += ["{" + "-".join((s(8, hexa), s(4, hexa), s(4, hexa), s(4, hexa), s(12, hexa))).upper() + "}", f"ISBN 978-{s(1, digits)}-{s(4, digits)}-{s(4, digits)}-{s(1, digits)}"]
+        bad += [f"release 4.{s(1, digits)}.{s(2, digits)}-2024050{s(1, digits)}-{s(7, hexa)}", f"the account 00{s(18, digits)} was closed", f"image: repo/app:{s(12, hexa)}-20240{s(3, digits)}"]
+        bad.append(f"read my-summer-of-{s(4, digits)}-and-the-sea-part-{s(1, digits)} now")
+    return good, bad
+
+
+@pytest.mark.parametrize("made", [held_out_findings, unseen_findings])
+def test_recall_and_precision_of_secrets_on_held_out_shapes(spark, made):
+    good, bad = made()
     docs = table(spark, [(i, t, None, None, None) for i, t in enumerate([g for g, _ in good] + bad)])
     digests = {i: hashlib.sha256(v.encode()).hexdigest() for i, (_, v) in enumerate(good)}
     found = {(r.doc_id, r.secret_sha256) for r in secrets.secrets(docs).collect()}
