@@ -41,6 +41,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 #: Sets up to this size have registers with a hash function each.
 SMALL = 128
+#: Up to so many documents to drop are looked up at the map side (some 25 MB); beyond, the documents are joined with them.
+LOOKED_UP = 250_000
 _FUNCTIONS = np.random.default_rng(271_828).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: For every register the registers that lend it a value while it is empty, in order of trial.
 _LENDERS = np.random.default_rng(20240229).integers(0, REGISTERS, (48, REGISTERS))
@@ -203,6 +205,7 @@ def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     Of several texts under one id each goes or stays by itself; rows of a null id all stay.
     """
     gone = keep(_grouped(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")).distinct(), "duplicates")
+    gone = F.broadcast(gone) if gone.count() <= LOOKED_UP else gone
     rest = docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_t"]), "left_anti").select(docs.columns)
     again = keep(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "repeated_ids")
     if again.isEmpty():
